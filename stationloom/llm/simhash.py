@@ -192,6 +192,18 @@ def _deeper(rows: DataFrame, depth: int, bits: int, budget: int) -> DataFrame:
     )
 
 
+def _leaf(depth: int, budget: int):
+    def leaf(table):
+        fp = table.column("fp").to_numpy().view(np.uint64)
+        second = table.column("second").to_numpy(zero_copy_only=False)
+        mixed = table.column("a")[0].as_py() != table.column("b")[0].as_py()
+        a, b = (np.sort(fp[~second]), np.sort(fp[second])) if mixed else (np.sort(fp), None)
+        u, v = trie_links(a, b, depth, table.column("used")[0].as_py(), budget)
+        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
+
+    return leaf
+
+
 def trie_join(distinct: DataFrame, rows: int, budget: int = MAX_BITS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Links (u, v) that connect all fingerprints at ``budget`` or fewer differing bits.
 
@@ -208,17 +220,7 @@ def trie_join(distinct: DataFrame, rows: int, budget: int = MAX_BITS, leaf_rows:
         large = stored(sized.where(F.col("n") > leaf_rows).select(*pair), "large-pairs")
         some_large = depth < 64 and not large.isEmpty()
         small = waiting.join(large, pair, "left_anti") if some_large else waiting
-        at = depth
-
-        def leaf(table: pa.Table, at=at) -> pa.Table:
-            fp = table.column("fp").to_numpy().view(np.uint64)
-            second = table.column("second").to_numpy(zero_copy_only=False)
-            mixed = table.column("a")[0].as_py() != table.column("b")[0].as_py()
-            a, b = (np.sort(fp[~second]), np.sort(fp[second])) if mixed else (np.sort(fp), None)
-            u, v = trie_links(a, b, at, table.column("used")[0].as_py(), budget)
-            return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
-
-        part = stored(small.groupBy(*pair).applyInArrow(leaf, "u long, v long"), "links")
+        part = stored(small.groupBy(*pair).applyInArrow(_leaf(depth, budget), "u long, v long"), "links")
         links = part if links is None else links.union(part)
         if not some_large:
             remove(waiting.sparkSession, waiting, large)
