@@ -10,6 +10,7 @@ import importlib
 
 _MODULES: tuple[str, ...] = (
     "url_filter",
+    "token_counts",
     "simhash",
     "quality_rules",
 )
