@@ -11,6 +11,7 @@ import importlib
 _MODULES: tuple[str, ...] = (
     "url_filter",
     "token_counts",
+    "piece_sampling",
     "simhash",
     "quality_rules",
 )
