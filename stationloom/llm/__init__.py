@@ -10,6 +10,7 @@ import importlib
 
 _MODULES: tuple[str, ...] = (
     "url_filter",
+    "token_store",
     "token_counts",
     "piece_sampling",
     "simhash",
