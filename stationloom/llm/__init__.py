@@ -13,8 +13,10 @@ _MODULES: tuple[str, ...] = (
     "token_store",
     "token_counts",
     "piece_sampling",
+    "secret_scan",
     "simhash",
     "quality_rules",
+    "decontamination",
 )
 
 
