@@ -37,7 +37,7 @@ THRESHOLD = 0.6
 GRAM = 5
 QUESTION_SHARE, ANSWER_SHARE = 0.5, 0.6
 PART_WORDS = 128
-BLOCK = 8  # parts in a block of a posting list
+BLOCK = 4  # parts in a block of a posting list
 #: At most so many items, and bytes of them, are indexed at once; more go in several rounds.
 ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 16 << 20
 
@@ -62,6 +62,8 @@ class Index:
     grams: list[frozenset[tuple[int, ...]]]
     terms: dict[str, int]
     postings: list[list[tuple[int, float]]]  # of each term: (part, impact) by part
+    blocks: list[dict[int, float]]  # of each term: block -> greatest impact
+    tops: list[float]
     block_start: np.ndarray  # CSR over terms of (block, greatest impact)
     block_of: np.ndarray
     block_max: np.ndarray
@@ -101,7 +103,7 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
         whole = sum(weight.values())
         for t, w in weight.items():
             postings[t].append((i, float(w / whole)))
-    starts, blocks, most = [0], [], []
+    starts, blocks, most, maxima = [0], [], [], []
     for posting in postings:
         tops: dict[int, float] = {}
         for i, w in posting:
@@ -109,20 +111,17 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
         blocks += tops.keys()
         most += tops.values()
         starts.append(len(blocks))
+        maxima.append(tops)
     grams = [frozenset(tuple(p[i : i + GRAM]) for i in range(max(1, len(p) - GRAM + 1))) for p in parts]
     window = 2 * max(64, max(map(len, parts)))
-    return Index(owner, parts, answers, grams, terms, postings, np.array(starts), np.array(blocks, np.int64), np.array(most), (n - 1) // BLOCK + 1, window)
+    return Index(owner, parts, answers, grams, terms, postings, maxima, [max(m.values(), default=0.0) for m in maxima], np.array(starts), np.array(blocks, np.int64), np.array(most), (n - 1) // BLOCK + 1, window)
 
 
 def wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, float]]:
     """Every (part, score) with a score of ``threshold`` or more for a passage with these terms."""
     lists = [index.postings[t] for t in terms if index.postings[t]]
-    blocks = [
-        dict(zip(index.block_of[a:b].tolist(), index.block_max[a:b].tolist()))
-        for t in terms
-        if (a := index.block_start[t]) < (b := index.block_start[t + 1])
-    ]
-    tops = [max(b.values()) for b in blocks]
+    blocks = [index.blocks[t] for t in terms if index.postings[t]]
+    tops = [index.tops[t] for t in terms if index.postings[t]]
     at = [0] * len(lists)
     low = threshold - 1e-9  # sums in another order may differ in their last bits
     out = []
