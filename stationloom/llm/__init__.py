@@ -14,6 +14,7 @@ _MODULES: tuple[str, ...] = (
     "token_counts",
     "piece_sampling",
     "secret_scan",
+    "lm_scoring",
     "simhash",
     "quality_rules",
     "decontamination",
