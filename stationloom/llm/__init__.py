@@ -13,6 +13,7 @@ _MODULES: tuple[str, ...] = (
     "token_store",
     "token_counts",
     "piece_sampling",
+    "license_scan",
     "secret_scan",
     "lm_scoring",
     "simhash",
