@@ -109,21 +109,35 @@ def _forest(n: int, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return node, label[node]
 
 
-def trie_links(a: np.ndarray, b: np.ndarray | None, depth: int, used: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(a, b, depth: int, used: int, budget: int, accept=None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between two subtries, or within one.
 
-    ``a`` and ``b`` are sorted distinct uint64 values that share their first
-    ``depth`` bits each; ``used`` bits differ so far; ``b`` is None for a
-    subtrie with itself.
+    ``a`` and ``b`` are sorted uint64 values that share their first ``depth``
+    bits each; ``used`` bits differ so far; ``b`` is None for a subtrie with
+    itself.  The forest is given by places in ``a``, then ``b``.  ``accept``
+    takes the places of pairs within the budget and says which are links.
     """
     own = b is None
-    values = a if own else np.concatenate([a, b])
     shift = 0 if own else len(a)
     b = a if own else b
+    n_values = len(a) + (0 if own else len(b))
     found: list[tuple[np.ndarray, np.ndarray]] = []
     n_found = 0
+    none = np.zeros(0, np.int64)
     if not len(a) or not len(b):
-        return values[:0], values[:0]
+        return none, none
+
+    def link(x, y):
+        nonlocal found, n_found
+        if accept is not None:
+            yes = accept(x, y + shift)
+            x, y = x[yes], y[yes]
+        found.append((x, y + shift))
+        n_found += len(x)
+        if n_found > 4 * n_values + FRONTIER:
+            found = [_forest(n_values, *map(np.concatenate, zip(*found)))]
+            n_found = len(found[0][0])
+
     stack = [(depth, np.array([[0], [len(a)], [0], [len(b)], [used]], np.int64))]
     while stack:
         depth, pairs = stack.pop()
@@ -138,13 +152,13 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, depth: int, used: int, budge
             near = np.bitwise_count(a[x] ^ b[y]) <= budget
             if own:
                 near &= x != y
-            found.append((x[near], y[near] + shift))
-            n_found += int(near.sum())
-            if n_found > 4 * len(values) + FRONTIER:
-                found = [_forest(len(values), *map(np.concatenate, zip(*found)))]
-                n_found = len(found[0][0])
+            link(x[near], y[near])
             alo, ahi, blo, bhi, bits = pairs[:, ~single]
-        if depth == 64 or not len(alo):
+        if not len(alo):
+            continue
+        if depth == 64:  # runs of equal values
+            for i, j in _products(alo, ahi, blo, bhi):
+                link(*((i[i < j], j[i < j]) if own else (i, j)))
             continue
         bit = np.uint64(1 << (63 - depth))
         high = np.uint64(((1 << 64) - 1) ^ ((1 << (64 - depth)) - 1))
@@ -162,10 +176,17 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, depth: int, used: int, budge
         if own:
             alive &= ~((pairs[0] == pairs[2]) & (pairs[1] - pairs[0] == 1))
         stack.append((depth + 1, pairs[:, alive]))
-    if not found:
-        return values[:0], values[:0]
-    node, root = _forest(len(values), *map(np.concatenate, zip(*found)))
-    return values[node], values[root]
+    return _forest(n_values, *map(np.concatenate, zip(*found))) if found else (none, none)
+
+
+def _products(alo, ahi, blo, bhi):
+    """All pairs of places of each pair of ranges, some at a time."""
+    n = (ahi - alo) * (bhi - blo)
+    for lo, hi, other, width, size in zip(alo.tolist(), ahi.tolist(), blo.tolist(), (bhi - blo).tolist(), n.tolist()):
+        rows = max(1, FRONTIER // width)
+        for at in range(lo, hi, rows):
+            k = np.arange(min(rows, hi - at) * width)
+            yield at + k // width, other + k % width
 
 
 def _masks(bits: int, budget: int):
@@ -184,7 +205,7 @@ def _deeper(rows: DataFrame, depth: int, bits: int, budget: int) -> DataFrame:
     opened = opened.withColumn("second", second)
     up = lambda at, x: F.shiftleft(at, bits) + x
     return opened.select(
-        "fp",
+        *[c for c in ("fp", "item", "sketch") if c in rows.columns],
         up("a", F.when(F.col("second"), F.col("other")).otherwise(F.col("own"))).alias("a"),
         up("b", F.when(F.col("second"), F.col("own")).otherwise(F.col("other"))).alias("b"),
         (F.col("used") + F.col("to.cost")).alias("used"),
@@ -192,25 +213,33 @@ def _deeper(rows: DataFrame, depth: int, bits: int, budget: int) -> DataFrame:
     )
 
 
-def _leaf(depth: int, budget: int):
+def _leaf(depth: int, budget: int, sketch_bits: int | None):
     def leaf(table):
         fp = table.column("fp").to_numpy().view(np.uint64)
         second = table.column("second").to_numpy(zero_copy_only=False)
         mixed = table.column("a")[0].as_py() != table.column("b")[0].as_py()
-        a, b = (np.sort(fp[~second]), np.sort(fp[second])) if mixed else (np.sort(fp), None)
-        u, v = trie_links(a, b, depth, table.column("used")[0].as_py(), budget)
-        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
+        order = np.lexsort((fp, second)) if mixed else np.argsort(fp, kind="stable")
+        n = int((~second).sum()) if mixed else len(fp)
+        fp, accept = fp[order], None
+        if sketch_bits is not None:
+            sketch = table.column("sketch").to_numpy().view(np.uint64)[order]
+            accept = lambda x, y: np.bitwise_count(sketch[x] ^ sketch[y]) <= sketch_bits
+        u, v = trie_links(fp[:n], fp[n:] if mixed else None, depth, table.column("used")[0].as_py(), budget, accept)
+        node = (table.column("item").to_numpy() if "item" in table.column_names else table.column("fp").to_numpy())[order]
+        return pa.table({"u": node[u], "v": node[v]})
 
     return leaf
 
 
-def trie_join(distinct: DataFrame, rows: int, budget: int = MAX_BITS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def trie_join(distinct: DataFrame, rows: int, budget: int = MAX_BITS, leaf_rows: int = LEAF_ROWS, sketch_bits: int | None = None) -> DataFrame:
     """Links (u, v) that connect all fingerprints at ``budget`` or fewer differing bits.
 
-    ``distinct`` has distinct longs ``fp``, ``rows`` of them.
+    ``distinct`` has ``rows`` longs ``fp``, distinct unless a column ``item``
+    tells apart what is linked.  With ``sketch_bits``, the column ``sketch`` of
+    two items must not differ in more bits.
     """
     depth = min(48, max(2, int(np.ceil(np.log2(max(rows, 1) / leaf_rows + 1))) + 1))
-    start = distinct.select("fp", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("used"), F.lit(False).alias("second"))
+    start = distinct.select(*distinct.columns, F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("used"), F.lit(False).alias("second"))
     waiting, links = _deeper(start, 0, depth, budget), None
     pair = ["a", "b", "used"]
     while True:
@@ -220,7 +249,7 @@ def trie_join(distinct: DataFrame, rows: int, budget: int = MAX_BITS, leaf_rows:
         large = stored(sized.where(F.col("n") > leaf_rows).select(*pair), "large-pairs")
         some_large = depth < 64 and not large.isEmpty()
         small = waiting.join(large, pair, "left_anti") if some_large else waiting
-        part = stored(small.groupBy(*pair).applyInArrow(_leaf(depth, budget), "u long, v long"), "links")
+        part = stored(small.groupBy(*pair).applyInArrow(_leaf(depth, budget, sketch_bits), "u long, v long"), "links")
         links = part if links is None else links.union(part)
         if not some_large:
             remove(waiting.sparkSession, waiting, large)
@@ -243,6 +272,70 @@ def near_duplicates(docs: DataFrame, key="doc_id", text="text", width=SHINGLE, b
     return marked.join(of_fp, "fp").select("key", "fp", "component")
 
 
+# --- near copies: five-word shingles --------------------------------------
+
+#: Fingerprints of a text's distinct words, each with a seed of its own.
+WORD_SEEDS = (101, 102, 103, 104)
+WORD_BITS = 4
+SKETCH_SHINGLE = 5
+#: Five-word shingle sets with a similarity of 0.8 differ in about ten bits.
+SKETCH_BITS = 15
+
+
+def word_fingerprints_of(text: pa.Array) -> list[np.ndarray]:
+    """For each seed, the fingerprint of each text's set of words, as uint64."""
+    codes, distinct, offsets = W.words_of(text, lower=True)
+    words, many = distinct.cast(pa.large_binary()).to_pylist(), np.int64(max(len(distinct), 1))
+    pairs = np.unique(W.rows_of(offsets) * many + codes)
+    row, code = pairs // many, pairs % many
+    out = [np.zeros(len(text), np.uint64) for _ in WORD_SEEDS]
+    if not len(row):
+        return out
+    at = np.flatnonzero(np.concatenate([[True], np.diff(row) > 0]))
+    size = np.diff(np.concatenate([at, [len(row)]]))
+    for fp, seed in zip(out, WORD_SEEDS):
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        major = 2 * np.add.reduceat(bits[code], at, axis=0, dtype=np.int32) > size[:, None]
+        fp[row[at]] = np.packbits(major.astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
+
+
+def drop_near_copies(docs: DataFrame, key="doc_id", text="text", leaf_rows=4 * LEAF_ROWS) -> DataFrame:
+    """``docs`` with one document of each group of near copies, the one with the smallest key.
+
+    Near copies have a similarity of about 0.8 or more of their five-word
+    shingles: fingerprints of their word sets, which so few edits hardly
+    change, differ in at most ``WORD_BITS`` bits under one of four seeds (four
+    trie joins), and the SimHashes of their five-word shingles in at most
+    ``SKETCH_BITS``.  Texts with equal words in order are always one group, and
+    of rows with one key in a group one stays.  Rows with a null key stay.
+    """
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
+    names = [f"fp{i}" for i in range(len(WORD_SEEDS))]
+
+    def marked(batches):
+        for batch in W.slices(batches, "marked_text", 2 << 20):
+            source = W.text_of(batch, "marked_text")
+            sketch = fingerprints_of(source, SKETCH_SHINGLE)
+            columns = [pa.array(x.view(np.int64)) for x in (sketch, *word_fingerprints_of(source))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", "sketch", *names])
+
+    pair = docs.select(F.col(key).alias("key"), F.col(text).alias("marked_text"))
+    marks = pair.mapInArrow(marked, f"key {kind}, sketch long, {', '.join(f'{n} long' for n in names)}")
+    marks = stored(marks.withColumn("item", F.xxhash64("sketch", *names)), "marks")
+    items = stored(marks.groupBy("item", "sketch", *names).agg(F.min("key").alias("least_key")), "items")
+    n, links = items.count(), None
+    for name in names:
+        some = trie_join(items.select(F.col(name).alias("fp"), "item", "sketch"), n, WORD_BITS, leaf_rows, SKETCH_BITS)
+        links = some if links is None else links.union(some)
+    label = components(links).select(F.col("node").alias("item"), "label")
+    grouped = items.select("item", "least_key").join(label, "item", "left").withColumn("label", F.coalesce("label", "item"))
+    kept = stored(grouped.groupBy("label").agg(F.min("least_key").alias("kept_key")).select("kept_key").where("kept_key IS NOT NULL"), "kept-keys").distinct()
+    stay = docs.join(kept, docs[key] == kept["kept_key"], "left_semi").dropDuplicates([key])
+    return stay.unionByName(docs.where(F.col(key).isNull()))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select(
