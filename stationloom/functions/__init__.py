@@ -1 +1 @@
-"""Part of stationloom."""
+"""Column expressions and parameters."""

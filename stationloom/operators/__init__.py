@@ -1 +1 @@
-"""Part of stationloom."""
+"""The quality-control levels."""

@@ -1 +1 @@
-"""Part of stationloom."""
+"""Results, chains and reports."""

@@ -1 +1 @@
-"""Part of stationloom."""
+"""Tables and files as station panels."""

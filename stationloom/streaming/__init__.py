@@ -1 +1 @@
-"""Part of stationloom."""
+"""Levels on unbounded input."""
