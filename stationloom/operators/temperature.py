@@ -210,7 +210,7 @@ def lag_table(result: QCResult, window_days: int, max_lag: int, min_valid_frac:
     judged = rows.groupBy("station", "win").agg(F.count(F.when(both, 1)).alias("n")).where(F.col("n") >= min_valid_frac * window_days * 86400 / step).select("station", "win")
     asked = rows.where("value IS NOT NULL").join(F.broadcast(judged), ["station", "win"]).select("station", "win", "at", "value")
     lags = F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag")
-    asked = asked.select("station", "win", "at", "value", lags).withColumn("at", F.col("at") + F.col("lag") * F.lit(round(step * 1e6)))
+    asked = asked.select("station", "win", "at", "value", lags).withColumn("at", F.col("at") + F.col("lag").cast("long") * F.lit(round(step * 1e6)).cast("long"))
     net = rows.where("net IS NOT NULL").select("station", "at", "net")
     pairs = asked.join(net, ["station", "at"])
     cors = pairs.groupBy("station", "win", "lag").agg(F.count("*").alias("n"), safe_corr(F.col("value"), F.col("net")).alias("r")).where("n >= 3 AND r IS NOT NULL")
