@@ -21,7 +21,9 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -38,12 +40,13 @@ THETA = 0.0003
 SEED = 7
 ONE = 1 << 30  # the shares of a node's edges sum up to this
 BLANK = -1e8  # scores below this mark runs of U+2581 in the file
-CACHED_UNITS = 120_000
-_caches: dict[tuple, U.UnitCache] = {}
+#: Units whose edges a process keeps: about so many plain ones, and at most so many others.
+KEPT_UNITS, CACHED_UNITS = 200_000, 20_000
+_lattices: dict[tuple, Lattice] = {}
 
 
 class Lattice:
-    """Makes a unit's edges: rows (share, start, piece, end), grouped by end.
+    """Makes units' edges: rows (share, start, piece, end), by end and start.
 
     ``share`` is cumulative within an end; ``piece`` is -1 - code point for an
     unknown character.
@@ -54,26 +57,70 @@ class Lattice:
         scores = [score for _, score, _ in vocab.matcher.values()]
         self.floor = min(s for s in scores if s > BLANK) - U.UNKNOWN
         self.theta = theta
-        self.weight = {i: math.exp(theta * max(s, self.floor)) for i, s, _ in vocab.matcher.values()}
-
-    def __call__(self, unit: str) -> np.ndarray:
-        if len(unit) > 60 or not self.vocab.singles.issuperset(unit) or unit == U.LITERAL:
-            return self._by_logs(unit)
-        weight = self.weight
-        total = [1.0] + [0.0] * len(unit)
-        shares, starts, pieces, ends = [], [], [], []
-        for last, (piece, _, size) in self.vocab.matcher.iter(unit):
-            start, end = last + 1 - size, last + 1
-            total[end] += total[start] * weight[piece]
-            shares.append(total[end])
-            starts.append(start)
-            pieces.append(piece)
-            ends.append(end)
-        shares = [int(ONE * (s / total[e])) for s, e in zip(shares, ends)]
-        return np.array([shares, starts, pieces, ends], np.int32)
+        self.matcher = ahocorasick.Automaton()
+        self.weight = np.zeros(len(vocab.spell))
+        self.size = np.zeros(len(vocab.spell), np.int64)
+        for piece, (i, score, size) in vocab.matcher.items():
+            self.matcher.add_word(piece, i)
+            self.weight[i] = math.exp(theta * max(score, self.floor))
+            self.size[i] = size
+        self.matcher.make_automaton()
+        self.slow = U.UnitCache(self._by_logs, CACHED_UNITS)
+        self.kept: dict[str, int] = {}
+        self.kept_edges = np.zeros((4, 0), np.int32)
+        self.kept_ends = np.zeros(1, np.int64)
+
+    def plain(self, unit: str) -> bool:
+        return len(unit) <= 60 and self.vocab.singles.issuperset(unit)
+
+    def keep(self, units: list[str], edge: np.ndarray) -> None:
+        """Remember the edges of units, given as ``edges`` returns them."""
+        lengths = np.array([len(u) + 1 for u in units], np.int64)
+        begin = np.cumsum(lengths) - lengths
+        unit = np.searchsorted(begin, edge[3], side="right") - 1
+        local = edge - np.stack([0 * unit, begin[unit], 0 * unit, begin[unit]])
+        n = len(self.kept)
+        self.kept.update((u, n + i) for i, u in enumerate(units))
+        self.kept_edges = np.concatenate([self.kept_edges, local.astype(np.int32)], axis=1)
+        self.kept_ends = np.append(self.kept_ends, self.kept_ends[-1] + np.cumsum(np.bincount(unit, minlength=len(units))))
+
+    def kept_of(self, places: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """The edges of kept units, the first node of each being ``base``."""
+        n = self.kept_ends[places + 1] - self.kept_ends[places]
+        edge = self.kept_edges[:, _ragged(self.kept_ends[places], n)].astype(np.int64)
+        at = np.repeat(base, n)
+        edge[1] += at
+        edge[3] += at
+        return edge
+
+    def edges(self, units: list[str]) -> np.ndarray:
+        """The edges of plain units, one after another; starts and ends count on, a unit taking len + 1 nodes.
+
+        One pass of the automaton finds all matches.  Weights are then summed
+        up for all units at once, by end and by the edge's place at its end, so
+        that every sum is made in the same order whatever units come together.
+        """
+        found = np.fromiter(chain.from_iterable(self.matcher.iter("\x00".join(units))), np.int64).reshape(-1, 2)
+        piece, end = found[:, 1], found[:, 0] + 1  # the mark between units makes room for a unit's first node
+        start = end - self.size[piece]
+        first = np.zeros(int(end[-1]) + 1 if len(end) else 1, np.int64)
+        lengths = np.array([len(u) + 1 for u in units], np.int64)
+        begin = np.cumsum(lengths) - lengths
+        local = end - np.repeat(begin, lengths)[end]
+        place = np.arange(len(end)) - np.searchsorted(end, end, side="left")
+        total = np.zeros(len(first))
+        total[begin] = 1.0
+        share = np.empty(len(end))
+        key = local * 32 + place
+        order = np.argsort(key, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            ends = end[at]
+            total[ends] += total[start[at]] * self.weight[piece[at]]
+            share[at] = total[ends]
+        return np.stack([(ONE * (share / total[end])).astype(np.int64), start, piece, end])
 
     def _by_logs(self, unit: str) -> np.ndarray:
-        """The same for long units and unknown characters."""
+        """The edges of a long unit or one with unknown characters; starts and ends within the unit."""
         total = [0.0] + [-math.inf] * len(unit)
         rows = []
         for end, edges in enumerate(self.vocab.edges(unit)):
@@ -109,21 +156,34 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def sample_pieces(text: pa.Array, keys: list, path: str, theta: float = THETA, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts one after another, and each text's count."""
-    key = (path, theta)
-    if key not in _caches:
-        _caches[key] = U.UnitCache(Lattice(path, theta), CACHED_UNITS)
-    cache = _caches[key]
-    vocab = cache.make.vocab
+    lattice = _lattices.get((path, theta))
+    if lattice is None:
+        lattice = _lattices[path, theta] = Lattice(path, theta)
+    vocab = lattice.vocab
     codes, distinct, offsets = U.units_of(text, vocab)
-    names = distinct.to_pylist()
-    sizes = np.array([2 if n == U.LITERAL else len(n) for n in names], np.int64)
-    lattices = cache(names)
     if not len(codes):
         return np.zeros(0, np.int32), np.zeros(len(text), np.int64)
-    base = np.cumsum(sizes + 1) - sizes - 1  # the first node of each distinct unit
-    edge = np.concatenate(lattices, axis=1).astype(np.int64)
-    of = np.repeat(base, [x.shape[1] for x in lattices])
-    bound = ((edge[3] + of) << 32) + edge[0]
+    names = distinct.to_pylist()
+    sizes = np.array([len(n) for n in names], np.int64)
+    kept = np.array([lattice.kept.get(n, -1) for n in names], np.int64)
+    new = np.array([k < 0 and lattice.plain(n) for n, k in zip(names, kept.tolist())])
+    known, fresh, rest = np.flatnonzero(kept >= 0), np.flatnonzero(new), np.flatnonzero((kept < 0) & ~new)
+    order = np.concatenate([known, fresh, rest])
+    base = np.empty(len(names), np.int64)  # the first node of each distinct unit
+    base[order] = np.cumsum(sizes[order] + 1) - sizes[order] - 1
+    edge = [lattice.kept_of(kept[known], base[known])]
+    if len(fresh):
+        units = [names[i] for i in fresh.tolist()]
+        made = lattice.edges(units)
+        edge.append(made + np.array([[0], [base[fresh[0]]], [0], [base[fresh[0]]]]))
+        if len(lattice.kept) < KEPT_UNITS:
+            lattice.keep(units, made)
+    if len(rest):
+        slow = lattice.slow([names[i] for i in rest.tolist()])
+        at = np.repeat(base[rest], [x.shape[1] for x in slow])
+        edge.append(np.concatenate(slow, axis=1) + np.stack([0 * at, at, 0 * at, at]))
+    edge = np.concatenate(edge, axis=1)
+    bound = (edge[3] << 32) + edge[0]
     start, piece = edge[1], edge[2]
 
     row = W.rows_of(offsets)
@@ -137,9 +197,9 @@ def sample_pieces(text: pa.Array, keys: list, path: str, theta: float = THETA, s
         pick = np.searchsorted(bound, (node << 32) + _draws(seeds[at], in_row[at], len(drawn)), side="right")
         drawn.append((at, piece[pick]))
         count[at] += 1
-        left = start[pick] > 0
+        left = start[pick] > first
         at, first, pick = at[left], first[left], pick[left]
-        node = first + start[pick]
+        node = start[pick]
     end = np.cumsum(count)
     out = np.empty(end[-1], np.int64)
     for step, (at, ids) in enumerate(drawn):  # drawn from the back
@@ -174,7 +234,7 @@ def encode_sampled(docs: DataFrame, path: str, key="doc_id", text="text", theta=
     kind = dict(docs.dtypes)[key]
 
     def encode(batches):
-        for batch in W.slices(batches, "encoded_text", 3 << 20):
+        for batch in W.slices(batches, "encoded_text", 4 << 20):
             source = W.text_of(batch, "encoded_text")
             ids, n = sample_pieces(source, batch.column(0).to_pylist(), path, theta, seed)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids))
