@@ -42,7 +42,7 @@ def events_panel(spark: SparkSession, sf_dir: str, parity: int | None = None, wh
     rows = events.select(station.alias("station"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts"), "value")
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        return P.from_long(_mean(rows), what=what)
+        return P.from_long(_mean(rows), what=what, store=True)
 
 
 def lineitem_panel(spark: SparkSession, sf_dir: str) -> QCResult:
@@ -52,7 +52,7 @@ def lineitem_panel(spark: SparkSession, sf_dir: str) -> QCResult:
     rows = items.select(station.alias("station"), ts.alias("ts"), F.col("l_extendedprice").alias("value"))
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        return P.from_long(_mean(rows), what="price")
+        return P.from_long(_mean(rows), what="price", store=True)
 
 
 def metadata(spark: SparkSession) -> DataFrame:

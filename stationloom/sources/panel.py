@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import number
-from ..plans.result import CELLS, PanelFacts, QCResult
+from ..plans.result import CELLS, PanelFacts, QCResult, stored
 
 _PATTERN = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%y": "yy"}
 
@@ -90,15 +90,18 @@ def from_wide(table: DataFrame, time_col: str | int, time_format: str = "%Y-%m-%
     )
 
 
-def from_long(table: DataFrame, station="station", ts="ts", value="value", what: str = "temperature", stations: list[str] | None = None) -> QCResult:
+def from_long(table: DataFrame, station="station", ts="ts", value="value", what: str = "temperature", stations: list[str] | None = None, store: bool = False) -> QCResult:
     """A dense panel from rows (station, ts, value).
 
     ``stations`` gives the order of the stations, else they are sorted by
     name.  Rows with a null station or time are left out; a time that a
-    station has twice is an error.
+    station has twice is an error.  ``store`` writes the rows to the shared
+    folder first: where they are costly to make, they are made once.
     """
     rows = table.select(F.col(station).cast("string").alias("station"), F.col(ts).cast("timestamp").alias("ts"), number(F.col(value)).alias("value"))
     rows = rows.where("station IS NOT NULL AND ts IS NOT NULL")
+    if store:
+        rows = stored(rows, "rows")
     if stations is None:
         stations = sorted(r[0] for r in rows.select("station").distinct().collect())
     if len(set(stations)) < len(stations):
