@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -47,7 +48,10 @@ WINDOW = 16
 #: Chunk sizes in ids: least, average (a power of two), most.
 LEAST, AVERAGE, MOST = 128, 512, 2048
 BLOCK = 4096
-CACHED_UNITS = 400_000
+KNOWN_UNITS = 600_000
+_LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+#: Deletes the letters of ASCII and Latin-1, and the space.
+_LATIN = dict.fromkeys([0x20, *range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)])
 _SPACES = r"[\s\p{Z}\x0B\x1C-\x1F\x{85}]"
 _seen: dict[str, dict[str, bytes]] = {}
 
@@ -63,19 +67,37 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=1)
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else one from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 def _unit_ids(units: list[str], path: str) -> list[bytes]:
-    """Each unit's ids as 32-bit integers; units seen before come from a bounded cache."""
+    """Each unit's ids as 32-bit integers; the first units that a process meets stay known.
+
+    A unit of letters, with or without a space before it, is one pre-token, so
+    the tokenizer's model takes it as it is; others go through the tokenizer.
+    """
     known = _seen.setdefault(path, {})
-    if len(known) > CACHED_UNITS:
-        known.clear()
-    new = [u for u in units if u not in known]
-    fresh = {}
-    for i in range(0, len(new), 4096):
-        part = new[i : i + 4096]
-        for unit, got in zip(part, _tokenizer(path).encode_batch(part, add_special_tokens=False)):
-            fresh[unit] = np.array(got.ids, "<u4").tobytes()
-    out = [known.get(u) or fresh.get(u, b"") for u in units]
-    known.update((u, b) for u, b in fresh.items() if len(u) < 40)
+    tokenizer, letters = _tokenizer(path), _byte_letters()
+    model, fresh, mixed = tokenizer.model, {}, []
+    for unit in units:
+        if unit not in known:
+            if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()) and unit.lower().translate(_LATIN) == "":
+                spelled = unit.encode().decode("latin-1").translate(letters)
+                fresh[unit] = array("I", [t.id for t in model.tokenize(spelled)]).tobytes()
+            else:
+                mixed.append(unit)
+    for i in range(0, len(mixed), 4096):
+        part = mixed[i : i + 4096]
+        for unit, got in zip(part, tokenizer.encode_batch(part, add_special_tokens=False)):
+            fresh[unit] = array("I", got.ids).tobytes()
+    out = [known[u] if u in known else fresh[u] for u in units]
+    if len(known) < KNOWN_UNITS:
+        known.update((u, b) for u, b in fresh.items() if len(u) < 40)
     return out
 
 
@@ -83,12 +105,13 @@ def encode_texts(text: pa.Array, path: str) -> list[np.ndarray]:
     """The ids of each whole text.
 
     Byte-level pre-tokenisation always breaks before a single space between
-    two other characters, so a text splits there and equal units are encoded
-    once.  Texts with other runs of white space at a space, or with a special
-    token's string, are encoded as they are.
+    two other characters, between a letter and punctuation or a line's end,
+    and between a line's end and a letter, so a text is cut there and equal
+    units are encoded once.  Texts with other runs of white space at a space,
+    or with a special token's string, are encoded as they are.
     """
     special = [t.content for t in _tokenizer(path).get_added_tokens_decoder().values()]
-    odd = pc.match_substring_regex(text, f"^ | $| {_SPACES}|{_SPACES} ")
+    odd = pc.match_substring_regex(text, f"^ | $| {_SPACES}|{_SPACES} |\\x00|^$")
     for token in special:
         odd = pc.or_(odd, pc.match_substring(text, token))
     odd = odd.to_numpy(zero_copy_only=False)
@@ -97,11 +120,11 @@ def encode_texts(text: pa.Array, path: str) -> list[np.ndarray]:
         out[i] = np.array(_tokenizer(path).encode(text[i].as_py(), add_special_tokens=False).ids, np.uint32)
     plain = np.flatnonzero(~odd)
     if len(plain):
-        flat, offsets = W.flat_parts(pc.split_pattern(text.take(pa.array(plain)), " "), drop_empty=False)
-        first = np.zeros(len(flat), bool)
-        first[offsets[:-1]] = True
-        spaced = pc.binary_join_element_wise(pa.scalar("", flat.type), flat, pa.scalar(" ", flat.type))
-        codes, distinct = W.coded(pc.if_else(pa.array(first), flat, spaced))
+        cut = pc.replace_substring(text.take(pa.array(plain)), " ", "\x00 ")
+        cut = pc.replace_substring_regex(cut, rf"({_LETTER})([.,;:!?|\n$%&#*()\"])", "\\1\x00\\2")
+        cut = pc.replace_substring_regex(cut, rf"(\n)({_LETTER})", "\\1\x00\\2")
+        flat, offsets = W.flat_parts(pc.split_pattern(cut, "\x00"), drop_empty=False)
+        codes, distinct = W.coded(flat)
         made = _unit_ids(distinct.to_pylist(), path)
         size = np.array([len(b) // 4 for b in made], np.int64)
         table = np.frombuffer(b"".join(made), "<u4")
