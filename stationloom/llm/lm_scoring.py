@@ -352,6 +352,23 @@ def _fit(docs: DataFrame, vocab: Vocabulary, weights) -> dict[str, np.ndarray]:
     return weights
 
 
+def _head(counts: DataFrame) -> list[tuple[str, int]]:
+    """The most frequent words, ``HEAD`` at most, by count and then by word.
+
+    A histogram of the counts in sixteenths of powers of two tells from which
+    count on there are so many, so that no task sends more than it must.
+    """
+    bins = counts.groupBy(F.floor(F.log2("c") * 16).alias("bin")).agg(F.count("*").alias("n"), F.min("c").alias("c"))
+    total, least = 0, None
+    for r in bins.orderBy(F.desc("bin")).collect():  # under a thousand rows
+        total += r["n"]
+        if total > HEAD:
+            break
+        least = r["c"]
+    rows = [] if least is None else counts.where(F.col("c") >= least).collect()
+    return sorted(((r["word"], r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 def score_documents(docs: DataFrame, held_out, key="doc_id", text="text") -> DataFrame:
     """Scores of each row; learns from the rows where the column ``held_out`` is false.
 
@@ -364,7 +381,7 @@ def score_documents(docs: DataFrame, held_out, key="doc_id", text="text") -> Dat
     counts = training.select("lm_text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
     counts = stored(counts, "word-counts")
     n_all, n_types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = [(r["word"], r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
+    head = _head(counts)
     # the end token is a symbol however rare it is
     place = next((i for i, (word, _) in enumerate(head) if word == END), None)
     if place is not None and place >= SYMBOLS:
