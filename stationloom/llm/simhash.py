@@ -40,7 +40,7 @@ LEAF_ROWS = 16_384
 #: Levels that one DataFrame step takes a large node pair down.
 STEP_BITS = 4
 #: Node pairs that a task expands at once.
-FRONTIER = 1_000_000
+FRONTIER = 200_000
 
 
 # --- fingerprints ---------------------------------------------------------
