@@ -132,10 +132,11 @@ def log_chances(w, layout: Layout, h: np.ndarray, target: np.ndarray) -> np.ndar
     return out
 
 
-def _gradients(w, layout: Layout, before, target, fresh, h0):
+def _gradients(w, layout: Layout, before, target, fresh, h0, live=None):
     """Gradients of the mean loss over a window (steps x lanes), and the last state.
 
-    ``fresh`` marks the first token of a document, where the state is zero.
+    ``fresh`` marks the first token of a document, where the state is zero;
+    ``live`` the steps of lanes that have not ended, which alone have a loss.
     """
     steps, lanes = target.shape
     states, gates = [], []
@@ -148,7 +149,8 @@ def _gradients(w, layout: Layout, before, target, fresh, h0):
         h = new
     flat, goal = np.concatenate(states), target.ravel()
     g = {k: np.zeros_like(v) for k, v in w.items()}
-    scale = np.float32(1 / len(goal))
+    live = np.ones(len(goal), bool) if live is None else live.ravel()
+    scale = (live / np.float32(live.sum())).astype(np.float32)[:, None]
     d = np.exp(_log_softmax(flat @ w["wc"] + w["bc"]))
     d[np.arange(len(goal)), layout.class_of[goal]] -= 1
     d *= scale
@@ -159,7 +161,7 @@ def _gradients(w, layout: Layout, before, target, fresh, h0):
         if b - a > 1:
             d = np.exp(_log_softmax(flat[at] @ w["wv"][a:b].T + w["bv"][a:b]))
             d[np.arange(len(at)), layout.place[goal[at]]] -= 1
-            d *= scale
+            d *= scale[at]
             g["wv"][a:b], g["bv"][a:b] = d.T @ flat[at], d.sum(axis=0)
             dh[at] += d @ w["wv"][a:b]
     dh = dh.reshape(steps, lanes, HIDDEN)
@@ -199,22 +201,16 @@ class Trainer:
         lanes = max(1, min(LANES, len(tokens) // (4 * WINDOW)))
         before = np.concatenate([[self.end], tokens[:-1]])
         before[fresh] = self.end
-        length = -(-len(tokens) // lanes)
-        lane = np.minimum(np.arange(lanes) * length, len(tokens))
+        bounds = np.arange(lanes + 1) * len(tokens) // lanes  # lengths differ by one at most
+        length = int(np.diff(bounds).max())
         h = np.zeros((lanes, HIDDEN), np.float32)
-        for t in range(0, length, WINDOW):
-            steps = np.arange(t, min(t + WINDOW, length))
-            at = lane[None, :] + steps[:, None]
-            live = at[-1] < np.append(lane[1:], len(tokens))
-            if not live.any():  # the last lanes may be shorter
-                live, at = at[0] < np.append(lane[1:], len(tokens)), at[:1]
-            at, h = at[:, live], h[live]
-            lane = lane if live.all() else lane
-            g, h = _gradients(self.w, self.layout, before[at], tokens[at], fresh[at], h)
+        for steps in np.array_split(np.arange(length), -(-length // WINDOW)):
+            at = bounds[None, :-1] + steps[:, None]
+            live = at < bounds[None, 1:]
+            at = np.where(live, at, 0)  # a lane that has ended stands at any token, without a loss
+            g, h = _gradients(self.w, self.layout, before[at], tokens[at], fresh[at], h, live)
             self._adam(g)
-            if not live.all():
-                break
-        self.tokens += len(tokens)
+            self.tokens += int(live.sum())
 
     def _adam(self, g) -> None:
         self.steps += 1

@@ -258,6 +258,37 @@ def test_samples_have_their_shares():
     assert chi < len(common) + 5 * math.sqrt(2 * len(common))
 
 
+@pytest.mark.parametrize("n", [1, 63, 130, 4097, 5000, 16_511, 20_000, 50_001])
+def test_every_token_is_learnt_from_once(monkeypatch, n):
+    seen = []
+
+    def spy(w, layout, before, target, fresh, h, live=None):
+        seen.append(target.ravel() if live is None else target[live])
+        return {}, h
+
+    monkeypatch.setattr(lm_scoring, "_gradients", spy)
+    trainer = lm_scoring.Trainer({}, None, 0)
+    trainer.learn(np.arange(n), np.arange(n) % 7 == 0)
+    assert np.sort(np.concatenate(seen)).tolist() == list(range(n))
+    assert trainer.tokens == n
+
+
+def test_gradients_of_ended_lanes():
+    rng = np.random.default_rng(21)
+    counts = rng.integers(0, 50, 60).astype(float)
+    layout = lm_scoring.Layout.of(counts)
+    w = {k: v.astype(np.float64) + 0.1 * rng.normal(size=v.shape) for k, v in lm_scoring.initial_weights(counts, layout).items()}
+    before, target = rng.integers(0, 60, (2, 5, 2))
+    fresh, h = np.zeros((5, 2), bool), rng.normal(size=(2, lm_scoring.HIDDEN))
+    live = np.ones((5, 2), bool)
+    live[3:, 1] = False
+    got, _ = lm_scoring._gradients(w, layout, before, target, fresh, h, live)
+    a, _ = lm_scoring._gradients(w, layout, before[:, :1], target[:, :1], fresh[:, :1], h[:1])
+    b, _ = lm_scoring._gradients(w, layout, before[:3, 1:], target[:3, 1:], fresh[:3, 1:], h[1:])
+    for k in w:
+        assert np.allclose(got[k], (5 * a[k] + 3 * b[k]) / 8, atol=1e-5)
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(12)
     counts = rng.integers(1, 50, 40).astype(float)
