@@ -32,8 +32,12 @@ ASSIGN = re.compile(r"(?a)((?i:password|passwd|secret|token|api_?key))[\"']?\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 SENSITIVE = "key|secret|token|password|passwd|pwd|credential|auth|bearer|private|access|signature"
-#: A sensitive word and, at most 40 characters behind it on its line, a run of key characters.
-NOVEL = re.compile(rf"(?a)(?i:{SENSITIVE})[^\n]{{0,40}}?(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{{16,}})")
+WORDS = re.compile(rf"(?a)(?=((?i:{SENSITIVE})))")
+#: A run of key characters starts at most so far behind a sensitive word, on its line.
+REACH = 40
+HEAD = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16}")
+#: ``=`` parts a name from its value, and belongs to a run only as padding.
+RUN = re.compile(r"[A-Za-z0-9+/_-]+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 #: Texts that none of these finds have no span.
 MAY = [r"(?i)(password|passwd|secret|token|api_?key)", "AKIA", "[0-9a-f]{16}", rf"(?i)({SENSITIVE})"]
 AROUND = 1000  # characters on each side that prime the compressor
@@ -53,6 +57,19 @@ def marginal_bytes(candidate: str, around: str) -> int:
     return len(pack.compress(candidate.encode())) - len(pack.compress(b""))
 
 
+def _runs(text: str) -> list[tuple[int, int]]:
+    """(start, end) of every run of key characters within reach of a sensitive word, sorted."""
+    out: dict[int, int] = {}
+    for m in WORDS.finditer(text):
+        at = m.end(1)
+        line = text.find("\n", at, at + REACH)
+        last = at + REACH if line < 0 else line
+        for head in HEAD.finditer(text, at, last + 16):
+            if head.start() not in out:
+                out[head.start()] = RUN.match(text, head.start()).end()
+    return sorted(out.items())
+
+
 def find_secrets(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all spans, sorted; kind is the place in ``KINDS``."""
     spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
@@ -60,11 +77,8 @@ def find_secrets(text: str) -> list[tuple[int, int, int]]:
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     spans.sort()
     base, taken = list(spans), 0
-    at = 0
-    while m := NOVEL.search(text, at):
-        start, end = m.span(1)
-        at = end
-        run = m[1]
+    for start, end in _runs(text):
+        run = text[start:end]
         while taken < len(base) and base[taken][2] <= start:
             taken += 1
         touched = any(a < end and start < b for a, _, b in base[taken : taken + 8])

@@ -129,6 +129,21 @@ def test_novel_secrets():
     assert S.find_secrets(f"the value is {key} here") == [] and S.find_secrets("auth: example-1-example-example") == []
 
 
+def test_novel_secrets_behind_equals_and_other_runs():
+    key = "Zk39xQpL7vTn2RwY8sJd"
+    names = ["AWS_SECRET_ACCESS_KEY", "access_key", "auth", "private_key", "export signature", "?a=b&auth"]
+    for name in names:
+        at = len(name) + 1
+        assert S.find_secrets(f"{name}={key}\nend") == [(at, 3, at + len(key))]
+        assert S.find_secrets(f"{name}={key}==\nend") == [(at, 3, at + len(key) + 2)]
+        assert S.redacted(f"{name}={key}", S.find_secrets(f"{name}={key}")) == f"{name}=[REDACTED]"
+    behind = "key configuration-identifier "
+    assert S.find_secrets(behind + key) == [(len(behind), 3, len(behind) + len(key))]
+    assert S.find_secrets("key" + " " * 40 + key) == [(43, 3, 63)]
+    assert S.find_secrets("key" + " " * 41 + key) == [] and S.find_secrets("key\n" + key) == []
+    assert S.find_secrets("key " + "configuration_identifier_1=" + key)[-1][1:] == (3, 51)
+
+
 def test_licenses(spark):
     files = [
         ("LICENSE", "Permission and more\nReleased under the MIT License."), ("a/x", "text"), ("a/COPYING", "Licensed under the Apache License, Version 2.0."),
