@@ -146,12 +146,27 @@ def unknown_bytes(unit: str, start: int) -> bytes:
     return (SPACE if unit == LITERAL else unit[start]).encode()
 
 
-def _units_by_hand(text: str) -> list[str]:
-    units: list[str] = []
-    for i, part in enumerate(text.split(SPACE)):
-        spelled = SPACE * (i == 0 and text != "") + part.replace(" ", SPACE)
-        units += [LITERAL] * (i > 0) + re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", spelled)
-    return units
+def _units_by_hand(texts: list[str], vocab: Vocabulary) -> list[list[str]]:
+    """The units of texts that may hold NUL or U+2581, with the breaks that all texts have."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    out: list[list[str]] = []
+    for text in texts:
+        units: list[str] = []
+        for i, part in enumerate(text.split(SPACE)):
+            spelled = SPACE * (i == 0 and text != "") + part.replace(" ", SPACE)
+            units += [LITERAL] * (i > 0) + re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", spelled)
+        if vocab.breaks:  # NUL is spelled out meanwhile, by characters that make no break
+            spelled = [u.replace("\x01", "\x01\x02").replace("\x00", "\x01\x03") for u in units]
+            broken = pc.replace_substring_regex(pa.array(spelled, pa.large_string()), _break_before(vocab), "\\1\x00\\2")
+            units = [u.replace("\x01\x03", "\x00").replace("\x01\x02", "\x01") for b in broken.to_pylist() for u in b.split("\x00")]
+        out.append(units)
+    return out
+
+
+def _break_before(vocab: Vocabulary) -> str:
+    return rf"(\pL)([{re.escape(vocab.breaks)}])"
 
 
 def units_of(text, vocab: Vocabulary):
@@ -173,11 +188,13 @@ def units_of(text, vocab: Vocabulary):
     # a break before each U+2581 that follows another character
     broken = pc.replace_substring_regex(spelled, f"([^{SPACE}]){SPACE}", "\\1\x00" + SPACE)
     if vocab.breaks:
-        broken = pc.replace_substring_regex(broken, rf"(\pL)([{re.escape(vocab.breaks)}])", "\\1\x00\\2")
-    odd = pc.match_substring_regex(text, f"[\x00{SPACE}]")
-    if pc.any(odd).as_py():  # a text has one of the marks itself: cut by hand
-        parts = [_units_by_hand(t) for t in text.to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-        return *W.coded(pa.array([u for p in parts for u in p], pa.large_string())), offsets
-    flat, offsets = W.flat_parts(pc.split_pattern(broken, "\x00"), drop_empty=True)
+        broken = pc.replace_substring_regex(broken, _break_before(vocab), "\\1\x00\\2")
+    units = pc.split_pattern(broken, "\x00")
+    odd = pc.match_substring_regex(text, f"[\x00{SPACE}]").to_numpy(zero_copy_only=False).astype(bool)
+    if odd.any():  # these texts have one of the marks themselves: cut by hand
+        by_hand = pa.array(_units_by_hand(text.filter(pa.array(odd)).to_pylist(), vocab), units.type)
+        place = np.empty(len(odd), np.int64)
+        place[np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])] = np.arange(len(odd))
+        units = pa.concat_arrays([units.filter(pa.array(~odd)), by_hand]).take(pa.array(place))
+    flat, offsets = W.flat_parts(units, drop_empty=True)
     return *W.coded(flat), offsets

@@ -234,6 +234,32 @@ def test_sampled_pieces_decode(spark):
     assert piece_sampling.encode_sampled(docs.limit(0), PIECES).count() == 0
 
 
+def test_units_do_not_depend_on_the_texts_beside():
+    vocab = _unigram.vocabulary(PIECES)
+
+    def units(texts):
+        codes, distinct, offsets = _unigram.units_of(pa.array(texts, pa.large_string()), vocab)
+        flat = distinct.take(pa.array(codes)).to_pylist()
+        return [flat[a:b] for a, b in zip(offsets, offsets[1:])]
+
+    odd = ["x, y\u2581z. \x00w", "a,\x01\x00. b\x01\x03c, \u2581", "\x00"]
+    clean = ["a, b.", "", "é. (f)  g!", " one; two:three ", "\x01a.\x02"]
+    alone = [units([t])[0] for t in clean + odd]
+    assert "." in alone[0] and units(clean) == alone[: len(clean)]
+    assert units(clean + odd) == alone and units((clean + odd)[::-1]) == alone[::-1]
+    assert [[u for u in us if u] for us in _unigram._units_by_hand(clean, vocab)] == alone[: len(clean)]
+    assert ["".join(us).replace(_unigram.LITERAL, "\u2581") for us in alone] == [t and "\u2581" + t.replace(" ", "\u2581") for t in clean + odd]
+
+
+def test_samples_do_not_depend_on_the_texts_beside(spark):
+    rows = [(1, "words, more. And (so) on; words, more."), (2, "a\u2581b, c."), (3, "\x00 d, e.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    together, alone = (
+        {r["doc_id"]: r for d in parts for r in piece_sampling.encode_sampled(d, PIECES).collect()} for parts in ([docs], [docs.where(f"doc_id = {i}") for i in (1, 2, 3)])
+    )
+    assert together == alone
+
+
 def test_samples_have_their_shares():
     lattice = piece_sampling.Lattice(PIECES, piece_sampling.THETA)
     unit, n = "▁thering", 60_000
