@@ -1,9 +1,10 @@
 """Benchmark decontamination: BM25 over test items with block-max WAND.
 
 Test items are the indexed documents and training passages the queries.  Long
-items are indexed in parts of at most ``PART_WORDS`` words; passages are
-windows of twice the longest part, half a window apart, so that each part a
-document quotes lies whole in one of them.  A term's impact on a part is its
+items are indexed in parts of ``PART_WORDS`` words, half a part apart or less,
+the last one at the item's end, so that a quote as long as a part covers three
+quarters of one; passages are windows of twice the longest part, half a window
+apart, so that each part a document quotes lies whole in one of them.  A term's impact on a part is its
 BM25 weight divided by the part's weight against itself, so one threshold fits
 all parts.
 
@@ -11,7 +12,8 @@ All passages of a slice are bounded at once by the block maxima of their terms;
 those that may reach the threshold in some block go through block-max WAND,
 which returns every part at or above it.  A hit counts if the passage also
 holds enough of the part's word n-grams (its question) and, where the item has
-an answer, enough of the answer's words.
+an answer, enough of the answer's words, there or as many words behind the
+passage as the answer has.
 
 Defined results: null and empty texts and items match nothing; an item of
 fewer words than an n-gram has one gram, its words; repeated rows are judged
@@ -69,6 +71,7 @@ class Index:
     block_max: np.ndarray
     n_blocks: int
     window: int
+    reach: list[int]  # words of each part's answer
 
 
 def build_index(items: list[tuple[int, str]]) -> Index | None:
@@ -79,14 +82,16 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
     terms = {t: i for i, t in enumerate(names)}
     a_codes, a_distinct, a_offsets = terms_of(pa.array([a for _, a in asked], pa.large_string()))
     known = [terms.setdefault(t, len(terms)) for t in a_distinct.to_pylist()]
-    parts, owner, answers = [], [], []
+    parts, owner, answers, reach = [], [], [], []
     for i, (item, _) in enumerate(items):
         words = codes[offsets[i] : offsets[i + 1]].tolist()
         answer = frozenset(known[c] for c in a_codes[a_offsets[i] : a_offsets[i + 1]].tolist())
-        for at in range(0, len(words), PART_WORDS):
+        final = max(len(words) - PART_WORDS, 0)
+        for at in [*range(0, final, PART_WORDS // 2), final] if words else []:
             parts.append(words[at : at + PART_WORDS])
             owner.append(item)
-            answers.append(answer if at + PART_WORDS >= len(words) else frozenset())
+            answers.append(answer if at == final else frozenset())
+            reach.append(int(a_offsets[i + 1] - a_offsets[i]) if at == final else 0)
     if not parts:
         return None
     n, mean = len(parts), sum(map(len, parts)) / len(parts)
@@ -114,7 +119,7 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
         maxima.append(tops)
     grams = [frozenset(tuple(p[i : i + GRAM]) for i in range(max(1, len(p) - GRAM + 1))) for p in parts]
     window = 2 * max(64, max(map(len, parts)))
-    return Index(owner, parts, answers, grams, terms, postings, maxima, [max(m.values(), default=0.0) for m in maxima], np.array(starts), np.array(blocks, np.int64), np.array(most), (n - 1) // BLOCK + 1, window)
+    return Index(owner, parts, answers, grams, terms, postings, maxima, [max(m.values(), default=0.0) for m in maxima], np.array(starts), np.array(blocks, np.int64), np.array(most), (n - 1) // BLOCK + 1, window, reach)
 
 
 def wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -213,12 +218,14 @@ def leaks_of(text: pa.Array, index: Index, threshold: float = THRESHOLD) -> list
         begin = int(offsets[r]) + (w - int(first_window[r])) * half
         stop = int(offsets[r + 1]) if w - first_window[r] == n_windows[r] - 1 else min(begin + index.window, int(offsets[r + 1]))
         words = terms[begin:stop].tolist()
-        own = set(words)
         for part, score in found:
             long = min(GRAM, len(index.parts[part]))
             grams = {tuple(words[i : i + long]) for i in range(len(words) - long + 1)}
             question = len(grams & index.grams[part]) / len(index.grams[part])
-            answer = len(own & index.answers[part]) / len(index.answers[part]) if index.answers[part] else 1.0
+            answer = 1.0
+            if index.answers[part]:  # it may go on behind the window
+                own = set(terms[begin : min(stop + index.reach[part], int(offsets[r + 1]))].tolist())
+                answer = len(own & index.answers[part]) / len(index.answers[part])
             if question >= QUESTION_SHARE and answer >= ANSWER_SHARE:
                 at = (r, index.items[part])
                 best[at] = max(best.get(at, (0.0, 0.0, 0.0)), (score, question, answer))

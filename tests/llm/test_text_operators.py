@@ -210,6 +210,38 @@ def test_many_items_go_in_rounds(spark, monkeypatch, rounds):
     assert {(r[0], r[1]) for r in D.find_leaks(docs, bench).collect()} >= {(i, i) for i in range(6)}
 
 
+def leaked_items(index, words):
+    return {f[1] for f in D.leaks_of(pa.array([" ".join(words)], pa.large_string()), index)}
+
+
+@pytest.mark.parametrize("size", [255, 256, 300, 511])
+def test_quotes_across_parts(size):
+    other = [(k, " ".join(f"o{k}x{i}" for i in range(40))) for k in range(2, 30)]
+    item = [f"q{i}" for i in range(size)]
+    index = D.build_index([(1, " ".join(item)), *other])
+    for at in range(size - 128 + 1):
+        assert leaked_items(index, [*(f"n{i}" for i in range(at % 97)), *item[at : at + 128], *(f"m{i}" for i in range(200))]) == {1}
+
+
+def test_a_short_tail_is_no_part():
+    item = [f"q{i}" for i in range(129)]
+    index = D.build_index([(1, " ".join(item)), (2, "some other words of an item")])
+    assert min(map(len, index.parts[:-1])) == D.PART_WORDS
+    assert leaked_items(index, ["text", "with", item[-1], "in", "it"]) == set()
+    assert leaked_items(index, item) == {1}
+
+
+@pytest.mark.parametrize("n_question, n_answer", [(64, 64), (20, 400), (128, 150), (200, 90)])
+def test_long_answers_at_every_offset(n_question, n_answer):
+    asked, told = [f"q{i}" for i in range(n_question)], [f"a{i}" for i in range(n_answer)]
+    index = D.build_index([(1, " ".join(asked) + "? " + " ".join(told)), *((k, f"o{k} p{k} r{k} s{k} t{k} u{k}") for k in range(2, 30))])
+    for at in range(0, index.window + 1):
+        around = [f"n{i}" for i in range(at)], [f"m{i}" for i in range(600)]
+        assert leaked_items(index, [*around[0], *asked, *told, *around[1]]) == {1}
+    if n_question <= D.PART_WORDS:  # a question alone is no leak
+        assert leaked_items(index, [*asked, *around[1]]) == set()
+
+
 def test_arrow_text_is_whole():
     from stationloom.llm import _words as W
 
