@@ -21,7 +21,9 @@ no ids between tasks.
 
 Defined results: a null text counts as empty and has the end id alone;
 documents with equal keys follow each other in input order; null keys come
-first; an empty table gives an empty store; other columns are not read.
+first; an empty table gives an empty store; other columns are not read.  A
+digest that very many documents refer to (empty and repeated texts) is one row
+on the side of the chunks; adaptive execution splits the other side.
 """
 
 from __future__ import annotations
@@ -106,9 +108,11 @@ def encode_texts(text: pa.Array, path: str) -> list[np.ndarray]:
 
     Byte-level pre-tokenisation always breaks before a single space between
     two other characters, between a letter and punctuation or a line's end,
-    and between a line's end and a letter, so a text is cut there and equal
-    units are encoded once.  Texts with other runs of white space at a space,
-    or with a special token's string, are encoded as they are.
+    and between a letter and a line's end before it that follows no other
+    white space (of a run, its last character stands apart from the others),
+    so a text is cut there and equal units are encoded once.  Texts with other
+    runs of white space at a space, or with a special token's string, are
+    encoded as they are.
     """
     special = [t.content for t in _tokenizer(path).get_added_tokens_decoder().values()]
     odd = pc.match_substring_regex(text, f"^ | $| {_SPACES}|{_SPACES} |\\x00|^$")
@@ -122,7 +126,7 @@ def encode_texts(text: pa.Array, path: str) -> list[np.ndarray]:
     if len(plain):
         cut = pc.replace_substring(text.take(pa.array(plain)), " ", "\x00 ")
         cut = pc.replace_substring_regex(cut, rf"({_LETTER})([.,;:!?|\n$%&#*()\"])", "\\1\x00\\2")
-        cut = pc.replace_substring_regex(cut, rf"(\n)({_LETTER})", "\\1\x00\\2")
+        cut = pc.replace_substring_regex(cut, rf"([^\s\p{{Z}}\x0B\x1C-\x1F\x{{85}}]\n)({_LETTER})", "\\1\x00\\2")
         flat, offsets = W.flat_parts(pc.split_pattern(cut, "\x00"), drop_empty=False)
         codes, distinct = W.coded(flat)
         made = _unit_ids(distinct.to_pylist(), path)
@@ -236,12 +240,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, key="doc_id", text="
 
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.parquet(f"{path}/recipes")
-    except Exception as error:  # a partitioned table without rows has no file to tell its schema
-        if "UNABLE_TO_INFER_SCHEMA" not in str(error) and "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], "key long, place int, start long, n_tokens long, root string, digests array<string>, part int")
+    # a partitioned table without rows has no file to tell its schema
+    kind = dict(spark.read.parquet(f"{path}/segments").dtypes)["key"]
+    return spark.read.schema(f"key {kind}, place int, start long, n_tokens long, root string, digests array<string>, part int").parquet(f"{path}/recipes")
 
 
 def _manifest(recipes: DataFrame) -> DataFrame:

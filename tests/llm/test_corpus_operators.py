@@ -173,10 +173,24 @@ def test_damage_is_found(spark):
         token_store.verify_manifest(spark, bad)
 
 
-def test_empty_store(spark):
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_empty_store(spark, kind):
     path = new_path(spark, "test-store")
-    token_store.write_store(spark.createDataFrame([], "doc_id long, text string"), path, BYTES)
-    assert token_store.read_digests(spark, path).count() == 0 and token_store.read_documents(spark, path).count() == 0
+    token_store.write_store(spark.createDataFrame([], f"doc_id {kind}, text string"), path, BYTES)
+    digests = token_store.read_digests(spark, path)
+    assert digests.count() == 0 and token_store.read_documents(spark, path).count() == 0
+    assert dict(digests.dtypes)["doc_id"] == {"long": "bigint"}.get(kind, kind)
+
+
+def test_ids_are_the_tokenizers():
+    rng = random.Random(17)
+    plain = ["a", "B", "é", "word", "Next", " ", "\n", "\n\n", "\r\n", ".", ","]
+    odd = ["  ", "\t", "\x85", "\u2028", "\xa0", "\u200b", "'s", "'", '"', "(", "1", "23", "日", "\x0b", "\x1c", "ß", "K", "#", "$", "\ufeff", "<|endoftext|>", "\x01"]
+    texts = ["".join(rng.choices(plain + odd, weights=[5] * len(plain) + [1] * len(odd), k=rng.randint(0, 14))) for _ in range(20_000)]
+    texts += ["a\n\nb", "foo.\n\nBar baz", "Title\n\nText here.\n\nMore", "\nb", "a\r\nb\nc\nd"]
+    want = token_store._tokenizer(BYTES).encode_batch(texts, add_special_tokens=False)
+    got = token_store.encode_texts(pa.array(texts, pa.large_string()), BYTES)
+    assert [g.tolist() for g in got] == [w.ids for w in want]
 
 
 def test_crc_of_parts():
