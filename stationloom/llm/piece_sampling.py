@@ -40,8 +40,10 @@ THETA = 0.0003
 SEED = 7
 ONE = 1 << 30  # the shares of a node's edges sum up to this
 BLANK = -1e8  # scores below this mark runs of U+2581 in the file
-#: Units whose edges a process keeps: about so many plain ones, and at most so many others.
-KEPT_UNITS, CACHED_UNITS = 200_000, 20_000
+#: Edges (16 bytes each) of plain units that a process keeps, and other units whose edges it keeps.
+KEPT_EDGES, CACHED_UNITS = 3_000_000, 20_000
+#: Bytes of text whose lattices are in memory at once: a lattice takes some 100 times its text.
+SLICE = 1 << 19
 _lattices: dict[tuple, Lattice] = {}
 
 
@@ -67,22 +69,30 @@ class Lattice:
         self.matcher.make_automaton()
         self.slow = U.UnitCache(self._by_logs, CACHED_UNITS)
         self.kept: dict[str, int] = {}
-        self.kept_edges = np.zeros((4, 0), np.int32)
-        self.kept_ends = np.zeros(1, np.int64)
+        self.kept_edges = np.empty((4, KEPT_EDGES), np.int32)
+        self.kept_ends = np.zeros(KEPT_EDGES + 1, np.int32)  # a unit has an edge at least
 
     def plain(self, unit: str) -> bool:
         return len(unit) <= 60 and self.vocab.singles.issuperset(unit)
 
     def keep(self, units: list[str], edge: np.ndarray) -> None:
-        """Remember the edges of units, given as ``edges`` returns them."""
+        """Remember the edges of units, given as ``edges`` returns them, while there is room."""
         lengths = np.array([len(u) + 1 for u in units], np.int64)
         begin = np.cumsum(lengths) - lengths
         unit = np.searchsorted(begin, edge[3], side="right") - 1
-        local = edge - np.stack([0 * unit, begin[unit], 0 * unit, begin[unit]])
+        ends = np.cumsum(np.bincount(unit, minlength=len(units)))
         n = len(self.kept)
-        self.kept.update((u, n + i) for i, u in enumerate(units))
-        self.kept_edges = np.concatenate([self.kept_edges, local.astype(np.int32)], axis=1)
-        self.kept_ends = np.append(self.kept_ends, self.kept_ends[-1] + np.cumsum(np.bincount(unit, minlength=len(units))))
+        filled = int(self.kept_ends[n])
+        fit = int(np.searchsorted(ends, KEPT_EDGES - filled, side="right"))
+        if not fit:
+            return
+        edge, unit = edge[:, : ends[fit - 1]], unit[: ends[fit - 1]]
+        to = self.kept_edges[:, filled : filled + len(unit)]
+        to[:] = edge
+        to[1] -= begin[unit].astype(np.int32)
+        to[3] -= begin[unit].astype(np.int32)
+        self.kept_ends[n + 1 : n + 1 + fit] = filled + ends[:fit]
+        self.kept.update((u, n + i) for i, u in enumerate(units[:fit]))
 
     def kept_of(self, places: np.ndarray, base: np.ndarray) -> np.ndarray:
         """The edges of kept units, the first node of each being ``base``."""
@@ -176,8 +186,7 @@ def sample_pieces(text: pa.Array, keys: list, path: str, theta: float = THETA, s
         units = [names[i] for i in fresh.tolist()]
         made = lattice.edges(units)
         edge.append(made + np.array([[0], [base[fresh[0]]], [0], [base[fresh[0]]]]))
-        if len(lattice.kept) < KEPT_UNITS:
-            lattice.keep(units, made)
+        lattice.keep(units, made)
     if len(rest):
         slow = lattice.slow([names[i] for i in rest.tolist()])
         at = np.repeat(base[rest], [x.shape[1] for x in slow])
@@ -234,7 +243,7 @@ def encode_sampled(docs: DataFrame, path: str, key="doc_id", text="text", theta=
     kind = dict(docs.dtypes)[key]
 
     def encode(batches):
-        for batch in W.slices(batches, "encoded_text", 4 << 20):
+        for batch in W.slices(batches, "encoded_text", SLICE):
             source = W.text_of(batch, "encoded_text")
             ids, n = sample_pieces(source, batch.column(0).to_pylist(), path, theta, seed)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids))
