@@ -20,7 +20,11 @@ SLICE_BYTES = 6 << 20
 def text_of(batch: pa.RecordBatch, column: str) -> pa.Array:
     """The column as strings, null as empty."""
     text = batch.column(batch.schema.get_field_index(column))
-    text = text.take(pa.array(np.arange(len(text))))  # compact: ascii_lower misreads arrays with an offset
+    return whole(text.take(pa.array(np.arange(len(text)))))  # compact: ascii_lower misreads arrays with an offset
+
+
+def whole(text: pa.Array) -> pa.Array:
+    """The texts as large strings, null as empty."""
     return pc.fill_null(text.cast(pa.large_string()), "")
 
 

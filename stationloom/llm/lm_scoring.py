@@ -4,24 +4,30 @@ Counts of all training tokens give the base model and the network's symbols:
 the ``SYMBOLS`` most frequent tokens, and one symbol for each shape of the
 other words, within which a word has its share of the counts.  The network is
 trained on every training document by truncated backpropagation in numpy:
-documents are dealt into ``ROUNDS`` rounds, each task trains on its share of a
-round from the model of the round before, and the tasks' weights are averaged
-in a tree.  Scoring carries the state through each whole document, window by
-window, and adds up the log-likelihood of all its tokens.
-
-The counts of the ``HEAD`` most frequent words go to the scoring tasks; rarer
-words meet their counts in a join, so nothing that grows with the vocabulary is
-collected.
+documents are dealt by a hash of key and text into ``ROUNDS`` rounds and, in
+each, into shards of about ``SHARD_TOKENS`` tokens; a task trains on a shard
+from the model of the round before, and the shards' weights are averaged in a
+tree.  Shards and their order depend on nothing but the rows, so the model does
+not depend on how the table is cut into tasks.  Scoring carries the state
+through each whole document, window by window, and adds up the log-likelihood
+of all its tokens.
+
+The counts of about the ``HEAD`` most frequent words go to the scoring tasks;
+rarer words meet their counts in a join, so nothing that grows with the
+vocabulary is collected.
 
 Defined results: a null or empty text has the end token alone; a null key is
 hashed as the empty text; a key held out is never learnt from; without training
-documents the score is the base score; repeated rows are scored each; ties
-between equally frequent words go to the smaller word; an empty table gives an
-empty result; other columns are not read.
+documents the score is the base score; repeated rows are learnt from and scored
+each; ties between equally frequent words go to the smaller word, or, where the
+head ends among them, to the smaller hash; an empty table gives an empty
+result; other columns are not read.  A document longer than a lane of a slice
+is learnt from in pieces, each from an empty state.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import dataclass
 
@@ -35,13 +41,16 @@ from . import _words as W
 from ._shared import remove, stored
 
 SYMBOLS = 1200
-HEAD = 100_000
+HEAD = 300_000
 CLASSES = 32
 HIDDEN = 16
 WINDOW = 16
 LANES = 256
 ROUNDS = 3
+SHARD_TOKENS = 1_200_000
 RATE = 0.01
+#: Bytes of text that are learnt from, or scored, at once.
+LEARN_BYTES, SCORE_BYTES = 6 << 20, 12 << 20
 #: Weight vectors that one task averages.
 FAN_IN = 64
 END = ""  # stands for the end token; no word is empty
@@ -93,18 +102,23 @@ def initial_weights(counts: np.ndarray, layout: Layout) -> dict[str, np.ndarray]
     }
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
-
-
 def _step(w, before, h):
     """The gates and the next state."""
     a, s = w["x"][before], h @ w["u"]
-    z = _sigmoid(a[:, :HIDDEN] + s[:, :HIDDEN])
-    r = _sigmoid(a[:, HIDDEN : 2 * HIDDEN] + s[:, HIDDEN : 2 * HIDDEN])
+    zr = a[:, : 2 * HIDDEN] + s[:, : 2 * HIDDEN]
+    np.negative(zr, zr)
+    np.exp(zr, zr)
+    zr += 1
+    np.reciprocal(zr, zr)
+    z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
     sn = s[:, 2 * HIDDEN :]
-    n = np.tanh(a[:, 2 * HIDDEN :] + r * sn)
-    return z, r, sn, n, n + z * (h - n)
+    n = r * sn
+    n += a[:, 2 * HIDDEN :]
+    np.tanh(n, n)
+    new = h - n
+    new *= z
+    new += n
+    return z, r, sn, n, new
 
 
 def _log_softmax(logits):
@@ -185,6 +199,34 @@ def _gradients(w, layout: Layout, before, target, fresh, h0, live=None):
     return g, states[-1]
 
 
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+def _lanes(offsets: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all tokens lane by lane, and the lanes' ends.
+
+    Whole documents, the longest first, go to the shortest lane; those longer
+    than a lane's share go in pieces of that length.
+    """
+    most = -(-int(offsets[-1]) // lanes)
+    size = np.diff(offsets)
+    pieces = -(-size // most)
+    within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = np.repeat(offsets[:-1], pieces) + within * most
+    size = np.minimum(most, np.repeat(offsets[1:], pieces) - start)
+    order = np.argsort(-size, kind="stable")
+    heap = [(0, i) for i in range(lanes)]
+    lane = np.empty(len(size), np.int64)
+    for i, n in zip(order.tolist(), size[order].tolist()):
+        total, at = heap[0]
+        lane[i] = at
+        heapq.heapreplace(heap, (total + n, at))
+    order = np.argsort(lane, kind="stable")
+    return _ragged(start[order], size[order]), np.cumsum(np.bincount(lane, size, lanes).astype(np.int64))
+
+
 class Trainer:
     """Adam over windows of lanes; the state runs on from window to window."""
 
@@ -194,21 +236,30 @@ class Trainer:
         self.m = {k: np.zeros_like(v) for k, v in weights.items()}
         self.v = {k: np.zeros_like(v) for k, v in weights.items()}
 
-    def learn(self, tokens: np.ndarray, fresh: np.ndarray) -> None:
-        """One pass over documents one after another; ``fresh`` marks their first tokens."""
+    def learn(self, tokens: np.ndarray, offsets: np.ndarray) -> None:
+        """One pass over documents, the tokens of document i being offsets[i] .. offsets[i + 1]."""
         if not len(tokens):
             return
         lanes = max(1, min(LANES, len(tokens) // (4 * WINDOW)))
         before = np.concatenate([[self.end], tokens[:-1]])
-        before[fresh] = self.end
-        bounds = np.arange(lanes + 1) * len(tokens) // lanes  # lengths differ by one at most
-        length = int(np.diff(bounds).max())
+        before[offsets[:-1]] = self.end
+        places, ends = _lanes(offsets, lanes)
+        # a state is empty where the place does not follow the one before
+        fresh = np.concatenate([[True], np.diff(places) != 1])
+        fresh[np.isin(places, offsets[:-1])] = True
+        before, tokens = before[places], tokens[places]
+        first = np.concatenate([[0], ends[:-1]])
+        fresh[first[first < len(fresh)]] = True
+        order = np.argsort(first - ends, kind="stable")  # the longest lanes first: those that have ended stand last
+        first, size = first[order], (ends - first)[order]
         h = np.zeros((lanes, HIDDEN), np.float32)
+        length = int(size.max())
         for steps in np.array_split(np.arange(length), -(-length // WINDOW)):
-            at = bounds[None, :-1] + steps[:, None]
-            live = at < bounds[None, 1:]
-            at = np.where(live, at, 0)  # a lane that has ended stands at any token, without a loss
-            g, h = _gradients(self.w, self.layout, before[at], tokens[at], fresh[at], h, live)
+            some = int(np.searchsorted(-size, -steps[0], side="left"))
+            at = first[:some] + steps[:, None]
+            live = steps[:, None] < size[:some]
+            at = np.where(live, at, 0)  # a lane that ends in the window stands at any token, without a loss
+            g, h = _gradients(self.w, self.layout, before[at], tokens[at], fresh[at], h[:some], live)
             self._adam(g)
             self.tokens += int(live.sum())
 
@@ -273,96 +324,139 @@ def _shaped(batches):
 
 @dataclass(frozen=True)
 class Vocabulary:
-    words: dict[str, int]  # the head, by rank
+    words: pa.Array  # the head, by rank
     counts: np.ndarray  # of the head
     n_symbols: int  # the first words of the head are symbols; shapes come behind them
     end: int
     layout: Layout
     shape_mass: np.ndarray  # counts of the words of each shape that are no symbols
 
-    def symbols_of(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Symbol and head rank (-1: rarer) of each distinct word."""
-        rank = np.array([self.words.get(x, -1) for x in distinct.to_pylist()], np.int64)
-        known = (rank >= 0) & (rank < self.n_symbols)
-        return np.where(known, rank, self.n_symbols + word_shapes(distinct)), rank
+    def symbols_of(self, distinct: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Symbol and rank among ``words`` (-1: rarer), the head or its first words, of each distinct word."""
+        rank = pc.fill_null(pc.index_in(distinct, value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        symbol, other = rank.copy(), np.flatnonzero((rank < 0) | (rank >= self.n_symbols))
+        symbol[other] = self.n_symbols + word_shapes(distinct.take(pa.array(other)))
+        return symbol, rank
 
-    def documents(self, text: pa.Array):
-        """Word codes, distinct words, word offsets; symbols with ends, and their offsets."""
+    def documents(self, text: pa.Array, words: pa.Array | None = None):
+        """Word codes, distinct words, word offsets, ranks; symbols with ends, and their offsets."""
         codes, distinct, offsets = W.words_of(text, lower=True)
-        symbol, rank = self.symbols_of(distinct)
+        symbol, rank = self.symbols_of(distinct, self.words if words is None else words)
         ends = offsets + np.arange(len(offsets))
         tokens = np.full(int(ends[-1]), self.end)
         tokens[np.arange(len(codes)) + W.rows_of(offsets)] = symbol[codes] if len(codes) else codes
         return codes, distinct, offsets, rank, tokens, ends
 
 
-def _fit(docs: DataFrame, vocab: Vocabulary, weights) -> dict[str, np.ndarray]:
-    """Train over all rows of ``docs``: (lm_hash, lm_text)."""
+def _shard_slices(batches, most: int):
+    """(shard, texts) of rows (shard, lm_text) in order, cut by shard and size alone, whatever the batches."""
+    held, size, shard = [], 0, None
+    for batch in batches:
+        shards = batch.column(0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+        start = 0
+        for i, (now, n) in enumerate(zip(shards, sizes)):
+            if now != shard or (size and size + n > most):
+                held.append(batch.column(1).slice(start, i - start))
+                if sum(map(len, held)):
+                    yield shard, pa.concat_arrays(held)
+                held, size, start, shard = [], 0, i, now
+            size += n
+        held.append(batch.column(1).slice(start))
+    if sum(map(len, held)):
+        yield shard, pa.concat_arrays(held)
+
+
+def _fit(docs: DataFrame, vocab: Vocabulary, weights, n_tokens: int) -> dict[str, np.ndarray]:
+    """Train over all rows of ``docs``: (lm_hash, lm_key, lm_text), ``n_tokens`` tokens altogether."""
     spark = docs.sparkSession
     names = list(weights)
     shapes = [weights[k].shape for k in names]
     sizes = np.cumsum([weights[k].size for k in names])[:-1]
+    schema = "task long, tokens long, weights binary"
 
     def average(table):
+        table = table.sort_by("task")  # sums do not depend on the order in which rows come
         n = table.column("tokens").to_numpy().astype(float)
         flat = np.array([np.frombuffer(b, np.float32) for b in table.column("weights").to_pylist()], float)
         mean = (flat * n[:, None]).sum(axis=0) / n.sum()
         return pa.table({"task": table.column("task").slice(0, 1), "tokens": pa.array([int(n.sum())]), "weights": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
 
-    schema = "task long, tokens long, weights binary"
+    symbols = vocab.words.slice(0, vocab.n_symbols)
+    shards = max(1, round(n_tokens / ROUNDS / SHARD_TOKENS))
+    dealt = F.pmod(F.col("lm_hash"), F.lit(ROUNDS * shards))
+    learnt = 0
     for k in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((vocab, weights))
+        shared = spark.sparkContext.broadcast((Vocabulary(symbols, vocab.counts[: len(symbols)], vocab.n_symbols, vocab.end, vocab.layout, vocab.shape_mass), weights))
 
         def train(batches, shared=shared):
-            from pyspark import TaskContext
-
             vocab, weights = shared.value
-            trainer = Trainer(weights, vocab.layout, vocab.end)
-            for batch in W.slices(batches, "lm_text"):
-                *_, tokens, ends = vocab.documents(W.text_of(batch, "lm_text"))
-                fresh = np.zeros(len(tokens), bool)
-                fresh[ends[:-1]] = True
-                trainer.learn(tokens, fresh)
-            if trainer.tokens:
-                flat = np.concatenate([trainer.w[n].ravel() for n in names])
-                row = [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([trainer.tokens], pa.int64()), pa.array([flat.tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(row, ["task", "tokens", "weights"])
+            trainer, at = None, None
 
-        part = docs.where(F.pmod("lm_hash", F.lit(ROUNDS)) == k).select("lm_text")
-        made = stored(part.mapInArrow(train, schema), "weights")
-        n = made.count()
-        while n > 1:
+            def done():
+                flat = np.concatenate([trainer.w[n].ravel() for n in names])
+                row = [pa.array([at], pa.int64()), pa.array([trainer.tokens], pa.int64()), pa.array([flat.tobytes()], pa.binary())]
+                return pa.RecordBatch.from_arrays(row, ["task", "tokens", "weights"])
+
+            for shard, text in _shard_slices(batches, LEARN_BYTES):
+                if trainer is None or shard != at:
+                    if trainer is not None:
+                        yield done()
+                    trainer, at = Trainer(weights, vocab.layout, vocab.end), shard
+                *_, tokens, ends = vocab.documents(W.whole(text))
+                trainer.learn(tokens, ends)
+            if trainer is not None:
+                yield done()
+
+        part = docs.withColumn("dealt", dealt).where(F.col("dealt") % ROUNDS == k).withColumn("shard", F.floor(F.col("dealt") / ROUNDS))
+        part = part.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "lm_hash", "lm_key", "lm_text")
+        made = stored(part.select("shard", "lm_text").mapInArrow(train, schema), "weights")
+        n, tokens = made.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+        learnt += tokens
+        while n > 1:  # about FAN_IN rows in a group
             groups = -(-n // FAN_IN)
             last = made
             made = stored(last.groupBy(F.pmod("task", F.lit(groups)).alias("group")).applyInArrow(average, schema), "weights")
             remove(spark, last)
-            before, n = n, made.count()
-            if n == before:  # tasks that meet in no group; gather all
-                made = stored(made.groupBy(F.lit(0).alias("group")).applyInArrow(average, schema), "weights")
-                n = 1
+            n = made.count()
         if n:
             flat = np.frombuffer(bytes(made.first()["weights"]), np.float32)
             weights = {name: part.reshape(shape) for name, part, shape in zip(names, np.split(flat, sizes), shapes)}
         remove(spark, made)
         shared.unpersist()
+    if learnt != n_tokens:
+        raise RuntimeError(f"{learnt} tokens were learnt from, not {n_tokens}")
     return weights
 
 
-def _head(counts: DataFrame) -> list[tuple[str, int]]:
-    """The most frequent words, ``HEAD`` at most, by count and then by word.
+def _head(counts: DataFrame) -> tuple[pa.Array, np.ndarray]:
+    """The most frequent words, ``HEAD`` at most, by count and then by word, and their counts.
 
-    A histogram of the counts in sixteenths of powers of two tells from which
-    count on there are so many, so that no task sends more than it must.
+    A histogram of the counts in sixteenths of powers of two tells down to
+    which bin all words fit; of the next bin, words with small hashes fill up
+    the rest, as a histogram of 1024 hash buckets allows.
     """
-    bins = counts.groupBy(F.floor(F.log2("c") * 16).alias("bin")).agg(F.count("*").alias("n"), F.min("c").alias("c"))
-    total, least = 0, None
-    for r in bins.orderBy(F.desc("bin")).collect():  # under a thousand rows
-        total += r["n"]
-        if total > HEAD:
+    kind = F.floor(F.log2("c") * 16)
+    bins = counts.groupBy(kind.alias("bin")).agg(F.count("*").alias("n")).orderBy(F.desc("bin")).collect()  # under a thousand rows
+    total, least = 0, 0
+    wanted = F.lit(True)
+    for r in bins:
+        if total + r["n"] > HEAD:
+            least = r["bin"]
+            bucket = F.pmod(F.xxhash64("word"), F.lit(1024))
+            sizes = {b["bucket"]: b["n"] for b in counts.where(kind == least).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).collect()}
+            fit = 0
+            while total + sizes.get(fit, 0) <= HEAD:
+                total += sizes.get(fit, 0)
+                fit += 1
+            wanted = (kind > least) | ((kind == least) & (bucket < fit))
             break
-        least = r["c"]
-    rows = [] if least is None else counts.where(F.col("c") >= least).collect()
-    return sorted(((r["word"], r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
+        total += r["n"]
+    table = counts.where(wanted).select("word", "c").toArrow()
+    order = pc.sort_indices(table, sort_keys=[("c", "descending"), ("word", "ascending")])
+    table = table.take(order).combine_chunks()
+    words = table.column("word").cast(pa.large_string())
+    return (words.chunk(0) if words.num_chunks else pa.array([], pa.large_string())), table.column("c").to_numpy().astype(float)
 
 
 def score_documents(docs: DataFrame, held_out, key="doc_id", text="text") -> DataFrame:
@@ -373,34 +467,34 @@ def score_documents(docs: DataFrame, held_out, key="doc_id", text="text") -> Dat
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[key]
     base = docs.select(F.col(key).alias("key"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("lm_text"))
-    training = base.where(~F.col("held_out")).select(F.xxhash64(F.col("key").cast("string")).alias("lm_hash"), "lm_text")
+    as_text = F.col("key").cast("string")
+    training = base.where(~F.col("held_out")).select(F.xxhash64(as_text, "lm_text").alias("lm_hash"), as_text.alias("lm_key"), "lm_text")
     counts = training.select("lm_text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
     counts = stored(counts, "word-counts")
     n_all, n_types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = _head(counts)
-    # the end token is a symbol however rare it is
-    place = next((i for i, (word, _) in enumerate(head) if word == END), None)
-    if place is not None and place >= SYMBOLS:
-        head.insert(SYMBOLS - 1, head.pop(place))
-    elif place is None and n_all:
+    words, head_counts = _head(counts)
+    n_symbols = min(SYMBOLS, len(words))
+    place = pc.index(words, END).as_py()
+    if n_all and not 0 <= place < n_symbols:
+        # the end token is a symbol however rare it is: the last one
         end_count = counts.where(F.col("word") == END).first()["c"]
-        head.insert(min(SYMBOLS - 1, len(head)), (END, end_count))
-    n_symbols = min(SYMBOLS, len(head))
+        rest = np.flatnonzero(np.arange(len(words)) != place)
+        at = max(n_symbols - 1, 0)
+        words = pa.concat_arrays([words.take(pa.array(rest[:at])), pa.array([END], pa.large_string()), words.take(pa.array(rest[at:]))])
+        head_counts = np.concatenate([head_counts[rest[:at]], [end_count], head_counts[rest[at:]]])
     masses = np.zeros(N_SHAPES)
     for r in counts.mapInArrow(_shaped, "shape int, c long").groupBy("shape").agg(F.sum(F.col("c") + 0.5).alias("m")).collect():
         masses[r["shape"]] = r["m"]
-    symbol_words = pa.array([w for w, _ in head[:n_symbols]], pa.large_string())
-    symbol_counts = np.array([c for _, c in head[:n_symbols]], float)
+    symbol_counts = head_counts[:n_symbols]
     if n_symbols:
-        masses -= np.bincount(word_shapes(symbol_words), symbol_counts + 0.5, N_SHAPES)
+        masses -= np.bincount(word_shapes(words.slice(0, n_symbols)), symbol_counts + 0.5, N_SHAPES)
     masses = np.maximum(masses, 0) + 0.5
     all_counts = np.concatenate([symbol_counts, masses])
     layout = Layout.of(all_counts)
-    ranks = {w: i for i, (w, _) in enumerate(head)}
-    vocab = Vocabulary(ranks, np.array([c for _, c in head], float), n_symbols, ranks.get(END, 0), layout, masses)
+    vocab = Vocabulary(words, head_counts, n_symbols, max(pc.index(words, END).as_py(), 0), layout, masses)
     weights = initial_weights(all_counts, layout)
     if n_all:
-        weights = _fit(training, vocab, weights)
+        weights = _fit(training, vocab, weights, n_all)
     shared = spark.sparkContext.broadcast((vocab, weights))
     names = ["doc_row", "word", "n", "key", "held_out", "n_tokens", "n_known", "logs", "score"]
 
@@ -408,13 +502,13 @@ def score_documents(docs: DataFrame, held_out, key="doc_id", text="text") -> Dat
         vocab, w = shared.value
         logs = np.log10(vocab.counts + 0.5)
         shape_logs = np.log10(vocab.shape_mass)
-        for batch in W.slices(batches, "lm_text", 12 << 20):
+        end_rank = pc.index(vocab.words, END).as_py()
+        for batch in W.slices(batches, "lm_text", SCORE_BYTES):
             codes, distinct, offsets, rank, tokens, ends = vocab.documents(W.text_of(batch, "lm_text"))
             row = W.rows_of(offsets)
             n_docs = batch.num_rows
             in_head = rank[codes] >= 0 if len(codes) else np.zeros(0, bool)
             head_rank = rank[codes[in_head]]
-            end_rank = vocab.words.get(END, -1)
             known = np.bincount(row[in_head], minlength=n_docs) + (end_rank >= 0)
             log_sum = np.bincount(row[in_head], logs[head_rank], n_docs) + (logs[end_rank] if end_rank >= 0 else math.log10(0.5))
             # the network gives a symbol; a word that is none has its share of its shape
