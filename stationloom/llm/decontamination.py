@@ -15,11 +15,17 @@ holds enough of the part's word n-grams (its question) and, where the item has
 an answer, enough of the answer's words, there or as many words behind the
 passage as the answer has.
 
-Defined results: null and empty texts and items match nothing; an item of
-fewer words than an n-gram has one gram, its words; repeated rows are judged
-each; equal scores are all returned; an empty table or benchmark finds
-nothing; other columns are not read by ``find_leaks`` and pass through
-``drop_leaks`` whatever their names.
+A benchmark of more than ``ITEMS_AT_ONCE`` items or ``BYTES_AT_ONCE`` bytes is
+indexed in several rounds, each searched by all passages.  The number and mean
+length of the parts, the holders of each term and the window are those of the
+whole benchmark in every round, so results do not depend on the rounds.
+
+Defined results: null and empty texts and items match nothing, nor does an
+item with a null id; an id may be of any type; an item of fewer words than an
+n-gram has one gram, its words; of repeated items and rows each row is judged,
+and an id is found once a row, with its best hit; equal scores are all
+returned; an empty table or benchmark finds nothing; other columns are not read
+by ``find_leaks`` and pass through ``drop_leaks`` whatever their names.
 """
 
 from __future__ import annotations
@@ -31,8 +37,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _words as W
+from ._shared import stored
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -40,8 +48,8 @@ GRAM = 5
 QUESTION_SHARE, ANSWER_SHARE = 0.5, 0.6
 PART_WORDS = 128
 BLOCK = 4  # parts in a block of a posting list
-#: At most so many items, and bytes of them, are indexed at once; more go in several rounds.
-ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 16 << 20
+#: At most so many items, and bytes of them, are indexed at once (an index takes some 60 times its text); more go in several rounds.
+ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 4 << 20
 
 
 def terms_of(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -58,7 +66,7 @@ def split_item(text: str) -> tuple[str, str]:
 
 @dataclass
 class Index:
-    items: list[int]  # of each part
+    items: list  # of each part
     parts: list[list[int]]  # its terms, in order
     answers: list[frozenset[int]]
     grams: list[frozenset[tuple[int, ...]]]
@@ -74,8 +82,41 @@ class Index:
     reach: list[int]  # words of each part's answer
 
 
-def build_index(items: list[tuple[int, str]]) -> Index | None:
-    """Index (item, text) pairs; None if they have no word."""
+@dataclass(frozen=True)
+class Statistics:
+    """What an index must know of the whole benchmark."""
+
+    parts: int
+    mean: float  # words of a part
+    longest: int
+    holders: dict[str, int]  # parts that hold each term
+
+
+def part_starts(n_words: int) -> list[int]:
+    """Where the parts of an item of so many words begin."""
+    final = max(n_words - PART_WORDS, 0)
+    return [*range(0, final, PART_WORDS // 2), final] if n_words else []
+
+
+def count_parts(items: list[str]) -> Statistics:
+    """The statistics of some items' texts."""
+    codes, distinct, offsets = terms_of(pa.array([split_item(t or "")[0] for t in items], pa.large_string()))
+    n, total, longest = 0, 0, 0
+    holders = np.zeros(len(distinct), np.int64)
+    for a, b in zip(offsets.tolist(), offsets[1:].tolist()):
+        for at in part_starts(b - a):
+            part = codes[a + at : min(a + at + PART_WORDS, b)]
+            n, total, longest = n + 1, total + len(part), max(longest, len(part))
+            holders[np.unique(part)] += 1
+    return Statistics(n, total / max(n, 1), longest, dict(zip(distinct.to_pylist(), holders.tolist())))
+
+
+def build_index(items: list[tuple], whole: Statistics | None = None) -> Index | None:
+    """Index (item, text) pairs; None if they have no word.
+
+    ``whole`` has the statistics of a benchmark of which these are a share.
+    """
+    whole = whole or count_parts([t for _, t in items])
     asked = [split_item(t or "") for _, t in items]
     codes, distinct, offsets = terms_of(pa.array([q for q, _ in asked], pa.large_string()))
     names = distinct.to_pylist()
@@ -86,18 +127,16 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
     for i, (item, _) in enumerate(items):
         words = codes[offsets[i] : offsets[i + 1]].tolist()
         answer = frozenset(known[c] for c in a_codes[a_offsets[i] : a_offsets[i + 1]].tolist())
-        final = max(len(words) - PART_WORDS, 0)
-        for at in [*range(0, final, PART_WORDS // 2), final] if words else []:
+        for at in part_starts(len(words)):
+            last = at + PART_WORDS >= len(words)
             parts.append(words[at : at + PART_WORDS])
             owner.append(item)
-            answers.append(answer if at == final else frozenset())
-            reach.append(int(a_offsets[i + 1] - a_offsets[i]) if at == final else 0)
+            answers.append(answer if last else frozenset())
+            reach.append(int(a_offsets[i + 1] - a_offsets[i]) if last else 0)
     if not parts:
         return None
-    n, mean = len(parts), sum(map(len, parts)) / len(parts)
-    holders = np.zeros(len(terms))
-    for p in parts:
-        holders[list(set(p))] += 1
+    n, mean = whole.parts, whole.mean
+    holders = np.array([whole.holders.get(t, 0) for t in terms], float)
     idf = np.log(1 + (n - holders + 0.5) / (holders + 0.5))
     postings: list[list[tuple[int, float]]] = [[] for _ in terms]
     for i, p in enumerate(parts):
@@ -105,9 +144,9 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
         for t in p:
             uses[t] = uses.get(t, 0) + 1
         weight = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(p) / mean)) for t, f in sorted(uses.items())}
-        whole = sum(weight.values())
+        against_itself = sum(weight.values())
         for t, w in weight.items():
-            postings[t].append((i, float(w / whole)))
+            postings[t].append((i, float(w / against_itself)))
     starts, blocks, most, maxima = [0], [], [], []
     for posting in postings:
         tops: dict[int, float] = {}
@@ -118,8 +157,8 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
         starts.append(len(blocks))
         maxima.append(tops)
     grams = [frozenset(tuple(p[i : i + GRAM]) for i in range(max(1, len(p) - GRAM + 1))) for p in parts]
-    window = 2 * max(64, max(map(len, parts)))
-    return Index(owner, parts, answers, grams, terms, postings, maxima, [max(m.values(), default=0.0) for m in maxima], np.array(starts), np.array(blocks, np.int64), np.array(most), (n - 1) // BLOCK + 1, window, reach)
+    window = 2 * max(64, whole.longest)
+    return Index(owner, parts, answers, grams, terms, postings, maxima, [max(m.values(), default=0.0) for m in maxima], np.array(starts), np.array(blocks, np.int64), np.array(most), (len(parts) - 1) // BLOCK + 1, window, reach)
 
 
 def wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -168,7 +207,7 @@ def wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, fl
     return out
 
 
-def leaks_of(text: pa.Array, index: Index, threshold: float = THRESHOLD) -> list[tuple[int, int, float, float, float]]:
+def leaks_of(text: pa.Array, index: Index, threshold: float = THRESHOLD) -> list[tuple]:
     """(row, item, score, question share, answer share): the best verified hit of each row and item."""
     codes, distinct, offsets = terms_of(text)
     term = np.array([index.terms.get(t, -1) for t in distinct.to_pylist()], np.int64)
@@ -207,7 +246,7 @@ def leaks_of(text: pa.Array, index: Index, threshold: float = THRESHOLD) -> list
         may.append(np.unique(np.flatnonzero(bound >= threshold - 1e-9) // index.n_blocks) + from_window)
         cut = end
     wanted = np.concatenate(may) if may else np.zeros(0, np.int64)
-    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    best: dict[tuple, tuple[float, float, float]] = {}
     window_row = np.repeat(np.arange(len(size)), n_windows)
     for w in wanted.tolist():
         a, b = np.searchsorted(window, [w, w + 1])
@@ -232,22 +271,44 @@ def leaks_of(text: pa.Array, index: Index, threshold: float = THRESHOLD) -> list
     return [(*at, *b) for at, b in sorted(best.items())]
 
 
+def _count_terms(batches):
+    for batch in batches:
+        found = count_parts(batch.column(0).to_pylist())
+        terms = pa.array([None, *found.holders], pa.string())
+        rest = [0] * len(found.holders)
+        counts = [[found.parts, *found.holders.values()], [round(found.parts * found.mean), *rest], [found.longest, *rest]]
+        yield pa.RecordBatch.from_arrays([terms, *(pa.array(c, pa.int64()) for c in counts)], ["term", "n", "words", "longest"])
+
+
 def _indexes(benchmark: DataFrame, item: str, text: str):
     """The indexes of the benchmark's items, a bounded number of items each."""
-    items = benchmark.select(F.col(item).cast("long").alias("item"), F.col(text).alias("item_text")).where("item IS NOT NULL AND item_text IS NOT NULL")
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item).alias("item"), F.col(text).alias("item_text")).where("item IS NOT NULL AND item_text IS NOT NULL")
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0))).first()
     rounds = max(1, -(-n // ITEMS_AT_ONCE), -(-size // BYTES_AT_ONCE))
+    counts = None
+    if rounds > 1:
+        counts = items.select("item_text").mapInArrow(_count_terms, "term string, n long, words long, longest long")
+        counts = stored(counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.max("longest").alias("longest")), "item-terms")
+        n, words, longest = counts.where("term IS NULL").select("n", "words", "longest").first()
     for k in range(rounds):
-        some = items if rounds == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(rounds)) == k)
-        index = build_index(sorted((r["item"], r["item_text"]) for r in some.collect()))
+        some = items if rounds == 1 else items.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(rounds)) == k)
+        rows = sorted((r["item"], r["item_text"]) for r in some.collect())
+        whole = None
+        if counts is not None:  # the holders of this round's terms
+            own = spark.createDataFrame(pa.table({"term": pa.array(list(count_parts([t for _, t in rows]).holders), pa.string())}))
+            holders = counts.join(own, "term").select("term", "n").collect()
+            whole = Statistics(n, words / max(n, 1), longest, {r["term"]: r["n"] for r in holders})
+        index = build_index(rows, whole)
         if index is not None:
             yield index
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key="doc_id", text="text", item="item_id", item_text="text", threshold=THRESHOLD) -> DataFrame:
     """(key, item, score, question_share, answer_share) for each document and item it holds."""
-    kind = dict(docs.dtypes)[key]
-    schema = f"key {kind}, item_id long, score double, question_share double, answer_share double"
+    kind, item_kind = dict(docs.dtypes)[key], dict(benchmark.dtypes)[item]
+    kinds = (to_arrow_type(benchmark.schema[item].dataType), pa.float64(), pa.float64(), pa.float64())
+    schema = f"key {kind}, item_id {item_kind}, score double, question_share double, answer_share double"
     pair = docs.select(F.col(key).alias("key"), F.col(text).alias("searched_text"))
     out = docs.sparkSession.createDataFrame([], schema)
     for k, index in enumerate(_indexes(benchmark, item, item_text)):
@@ -257,7 +318,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key="doc_id", text="text",
             for batch in W.slices(batches, "searched_text"):
                 found = leaks_of(W.text_of(batch, "searched_text"), shared.value, threshold)
                 row, *rest = zip(*found) if found else ([],) * 5
-                kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
                 columns = [batch.column(0).take(pa.array(row, pa.int64())), *[pa.array(c, t) for c, t in zip(rest, kinds)]]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "item_id", "score", "question_share", "answer_share"])
 
