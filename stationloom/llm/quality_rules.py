@@ -27,7 +27,7 @@ from . import _words as W
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 SYMBOLS = "[#*$%&|<>]"
-#: The classifier is fitted on at most this many labelled documents.
+#: The classifier is fitted on at most this many labelled documents, whatever the size of the corpus.
 TRAIN_ROWS = 6000
 #: Documents whose estimated chance of good quality is below this are not kept.
 KEEP_AT = 0.5
@@ -193,25 +193,30 @@ def fit_trees(x, y, signs, n_trees=60, depth=3, rate=0.15, ridge=1.0, least=10,
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, key="doc_id", text="text", label="quality", rows=TRAIN_ROWS) -> Trees | None:
-    """Fit on the labelled documents with the ``rows`` smallest hashed keys.
+    """Fit on at most ``rows`` labelled documents, those with the smallest hashed keys.
 
-    None if the sample has not both classes.  Only features reach the driver.
+    A bound on the hash lets through about as many keys as are wanted, so that
+    hardly more than ``rows`` of them are sorted.  None if the sample has not
+    both classes.  Only features reach the driver, one row of them for each
+    key: of several documents with a key, the least.
     """
-    sample = (
-        labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1))
-        .groupBy(F.col(key).alias("sample_key")).agg(F.max(label).cast("double").alias("sample_label"))
-        .orderBy(F.xxhash64("sample_key"), "sample_key").limit(rows)
-    )
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("sample_key")).agg(F.max(label).cast("double").alias("sample_label"))
+    hashed = F.xxhash64("sample_key")
+    share = rows / max(known.count(), 1)
+    if share < 1:
+        known = known.where(hashed < -(1 << 63) + int(share * (1 + 6 / rows**0.5) * (1 << 64)))
+    sample = known.orderBy(hashed, "sample_key").limit(rows)
     texts = docs.select(F.col(key).alias("sample_key"), F.col(text).alias("sample_text"))
-    joined = texts.join(F.broadcast(sample), "sample_key").select("sample_label", "sample_text")
+    joined = texts.join(F.broadcast(sample), "sample_key").select("sample_key", "sample_label", "sample_text")
+    kind = dict(docs.dtypes)[key]
 
     def features(batches):
         for batch in W.slices(batches, "sample_text"):
             _, x = base_counts(W.text_of(batch, "sample_text"))
-            y = batch.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(x.tolist(), pa.list_(pa.float64()))], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(x.tolist(), pa.list_(pa.float64()))], ["sample_key", "y", "x"])
 
-    got = joined.mapInArrow(features, "y double, x array<double>").toArrow()
+    made = joined.mapInArrow(features, f"sample_key {kind}, y double, x array<double>")
+    got = made.groupBy("sample_key").agg(F.max("y").alias("y"), F.min("x").alias("x")).select("y", "x").toArrow()
     y = got.column(0).to_numpy()
     if len(y) == 0 or y.min() == y.max():
         return None
