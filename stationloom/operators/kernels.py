@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import great_circle, quantile
 
 BLOCK_ROWS = 100_000
+#: The land uses that count as green.
 GREEN = ("Vegetated Areas", "Forest", "Forests")
 
 
@@ -70,22 +71,34 @@ def find_stuck(cells: DataFrame, width: int, sd_tol: float, min_valid: int, n_ti
     return rows.where(~F.col("margin")).withColumn("judged", F.col("any_ok") & there).withColumn("hit", F.col("any_stuck") & there)
 
 
-def fill_gaps(cells: DataFrame, maxgap: int, refill: bool, step: float | None) -> DataFrame:
-    """Linear values in gaps of at most ``maxgap`` places of the full time grid: ``filled``, else null."""
-    grid = F.row_number().over(Window.partitionBy("station").orderBy("row_idx"))
-    if step:
-        start = F.min(F.unix_micros("ts")).over(Window.partitionBy("station"))
-        place = F.rint((F.unix_micros("ts") - start) / (step * 1e6)).cast("long") + 1
-        shared = F.count("*").over(Window.partitionBy("station", "place")) > 1
-        rows = cells.withColumn("place", place).withColumn("shared", shared)
-        any_shared = F.max("shared").over(Window.partitionBy("station"))
-        rows = rows.withColumn("place", F.when(any_shared, grid).otherwise(F.col("place")))
-    else:
-        rows = cells.withColumn("place", grid.cast("long"))
-    w = Window.partitionBy("station").orderBy("row_idx")
-    past, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+def grid_places(cells: DataFrame, step: float | None, regular: bool) -> DataFrame:
+    """Cells with ``place``: the number of their time on the full grid of the step.
+
+    It is the row of the index where that is regular, or where two times would
+    share a place.
+    """
+    if regular or not step:
+        return cells.withColumn("place", F.col("row_idx").cast("long"))
+    times = cells.select("ts").distinct()
+    start = times.agg(F.min("ts").alias("start"))
+    place = (F.rint((F.unix_micros("ts") - F.unix_micros("start")) / (step * 1e6)) + 1).cast("long")
+    shared = times.join(F.broadcast(start)).groupBy(place.alias("place")).agg(F.count("*").alias("n")).agg((F.max("n") > 1).alias("shared"))
+    rows = cells.join(F.broadcast(start.join(shared)))  # one row
+    return rows.withColumn("place", F.when(F.col("shared"), F.col("row_idx")).otherwise(place)).drop("start", "shared")
+
+
+def fill_gaps(cells: DataFrame, maxgap: int, refill: bool, step: float | None, regular: bool = False) -> DataFrame:
+    """Linear values in gaps of at most ``maxgap`` places of the full time grid: ``filled``, else null.
+
+    The ends of such a gap are at most ``maxgap`` rows away, so blocks with
+    that margin hold them; the last value before a row and the first one behind
+    it are running values, in both orders.
+    """
+    rows = blocks(grid_places(cells, step, regular), maxgap, maxgap)
     known = F.when(F.col("value").isNotNull(), F.struct("place", "value"))
-    rows = rows.withColumn("left", F.last(known, ignorenulls=True).over(past)).withColumn("right", F.first(known, ignorenulls=True).over(ahead))
+    nearest = lambda order: F.last(known, ignorenulls=True).over(Window.partitionBy("station", "block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("left", nearest(F.asc("row_idx"))).withColumn("right", nearest(F.desc("row_idx")))
+    rows = rows.where(~F.col("margin"))
     span = F.col("right.place") - F.col("left.place")
     share = (F.col("place") - F.col("left.place")) / span
     line = F.col("left.value") + (F.col("right.value") - F.col("left.value")) * share
@@ -104,16 +117,21 @@ def runs(rows: DataFrame, by: str, order: str, flag: Column) -> DataFrame:
 def loo_median(cells: DataFrame) -> DataFrame:
     """Cells with ``net``: the median at each time of all other stations, and ``n_valid`` of the time.
 
-    One array of sorted values serves all stations of a time; without a cell's
-    own place in it the median is two lookups.
+    Without one value, the middle of n sorted values is among three of them,
+    those from place n // 2 on; a value is left out before such a place if it is
+    not greater than what stands there.
     """
+    many = (F.col("n_valid") / 2).cast("int")
+    at = lambda i: F.try_element_at("sorted", F.when(many + i > 0, many + i))
     net = cells.groupBy("ts").agg(F.sort_array(F.collect_list("value")).alias("sorted"), F.count("value").alias("n_valid"))
+    net = net.select("ts", "n_valid", at(0).alias("s0"), at(1).alias("s1"), at(2).alias("s2"))
     rows = cells.join(net, "ts")
-    own = F.when(F.col("value").isNotNull(), F.array_position("sorted", F.col("value")))
-    rows = rows.withColumn("own", own.cast("int")).withColumn("m", (F.col("n_valid") - F.col("own").isNotNull().cast("int")).cast("int"))
-    skip = lambda k: F.try_element_at("sorted", k + F.coalesce((k >= F.col("own")).cast("int"), F.lit(0)))
-    low, high = F.floor((F.col("m") + 1) / 2).cast("int"), F.floor(F.col("m") / 2).cast("int") + 1
-    return rows.withColumn("net", F.when(F.col("m") > 0, (skip(low) + skip(high)) / 2)).drop("sorted", "own", "m")
+    odd = F.col("n_valid") % 2 == 1
+    own = F.col("value")
+    without = lambda low, high: F.when(own <= F.col(low), F.col(high)).otherwise(F.col(low))
+    others = F.when(odd, (without("s0", "s1") + without("s1", "s2")) / 2).otherwise(without("s0", "s1"))
+    every = F.when(odd, F.col("s1")).otherwise((F.col("s0") + F.col("s1")) / 2)
+    return rows.withColumn("net", F.when(own.isNull(), every).when(F.col("n_valid") > 1, others)).drop("s0", "s1", "s2")
 
 
 # --- neighbours -----------------------------------------------------------
@@ -194,33 +212,50 @@ def first_pass(cells: DataFrame, edges: DataFrame, k_sigma: float, floor: float,
     return sums.where(F.col("nn") >= min_neighbours).select("station", "row_idx", "nn", "mu", "sig", ratio.alias("ratio"))
 
 
-def remove_outliers(values: np.ndarray, w: np.ndarray, k_sigma: float, floor: float, min_neighbours: int) -> np.ndarray:
-    """Which values (steps x stations) go: at each step the worst exceedance, again and again until there is none."""
+def neighbour_arrays(pairs, n_stations: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and weights of each station's neighbours, 0-based; stations with fewer have weights of 0."""
+    of: list[list[tuple[int, float]]] = [[] for _ in range(n_stations)]
+    for i, j, weight in pairs:
+        of[i - 1].append((j - 1, weight))
+    most = max(map(len, of), default=0)
+    place, w = np.zeros((n_stations, most), np.int64), np.zeros((n_stations, most))
+    for i, near in enumerate(of):
+        for k, (j, weight) in enumerate(sorted(near)):
+            place[i, k], w[i, k] = j, weight
+    return place, w
+
+
+#: Values of neighbours that the removal loop looks at at once.
+LOOK = 2_000_000
+
+
+def remove_outliers(values: np.ndarray, place: np.ndarray, w: np.ndarray, k_sigma: float, floor: float, min_neighbours: int) -> np.ndarray:
+    """Which values (steps x stations) go: at each step the worst exceedance, again and again until there is none.
+
+    ``place`` and ``w`` are the stations' neighbours and their weights.
+    """
     values = values.copy()
     gone = np.zeros(values.shape, bool)
-    active = np.arange(len(values))
-    linked = (w > 0).astype(float)
-    while len(active):
-        v = values[active]
-        there = ~np.isnan(v)
-        x = np.where(there, v, 0.0)
-        sw = there @ w.T
-        with np.errstate(invalid="ignore", divide="ignore"):
-            mu = np.where(sw > 0, (x @ w.T) / sw, np.nan)
-            square = (x * x) @ w.T - 2 * mu * (x @ w.T) + mu * mu * sw
-            # cancellation hurts small spreads: take the differences themselves there
-            close = square < 1e-6 * np.maximum((x * x) @ w.T, 1e-12)
-            if close.any():
-                for i, j in zip(*np.nonzero(close & there)):
-                    square[i, j] = (w[j] * there[i] * (x[i] - mu[i, j]) ** 2).sum()
-            sig = np.sqrt(np.maximum(square, 0) / np.maximum(sw, 1e-12))
-            ok = there & ~np.isnan(mu) & (there @ linked.T >= min_neighbours) & (there.sum(axis=1, keepdims=True) >= 2)
-            ratio = np.where(ok, np.abs(v - mu) / np.maximum(k_sigma * sig, floor), -1.0)
-        worst = ratio.argmax(axis=1)
-        out = ratio[np.arange(len(active)), worst] > 1
-        active, worst = active[out], worst[out]
-        values[active, worst] = np.nan
-        gone[active, worst] = True
+    rows = max(1, LOOK // max(place.size, 1))
+    for at in range(0, len(values), rows):
+        active = np.arange(at, min(at + rows, len(values)))
+        while len(active):
+            v = values[active]
+            near = v[:, place]  # steps x stations x neighbours
+            weight = np.where(np.isnan(near), 0.0, w)
+            near = np.nan_to_num(near)
+            sw = weight.sum(axis=2)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                mu = (weight * near).sum(axis=2) / sw
+                sig = np.sqrt((weight * (near - mu[:, :, None]) ** 2).sum(axis=2) / np.maximum(sw, 1e-12))
+                there = ~np.isnan(v)
+                ok = there & (sw > 0) & ((weight > 0).sum(axis=2) >= min_neighbours) & (there.sum(axis=1, keepdims=True) >= 2)
+                ratio = np.where(ok, np.abs(v - mu) / np.maximum(k_sigma * sig, floor), -1.0)
+            worst = ratio.argmax(axis=1)
+            out = ratio[np.arange(len(active)), worst] > 1
+            active, worst = active[out], worst[out]
+            values[active, worst] = np.nan
+            gone[active, worst] = True
     return gone
 
 
@@ -230,25 +265,36 @@ def spatial_outliers(cells: DataFrame, edges: DataFrame, n_stations: int, k_sigm
     Plain aggregates judge all cells; only times with an exceedance go, one row
     of values each, to the loop that removes the worst value first.
     """
-    pairs = [(r["src_pos"], r["dst_pos"], r["w"]) for r in edges.select("src_pos", "dst_pos", "w").collect()]  # k for each station
-    w = np.zeros((n_stations, n_stations))
-    for i, j, weight in pairs:
-        w[i - 1, j - 1] = weight
+    pairs = [tuple(r) for r in edges.select("src_pos", "dst_pos", "w").collect()]  # k for each station
+    place, w = neighbour_arrays(pairs, n_stations)
     judged = first_pass(cells, edges, k_sigma, floor, min_neighbours)
     # exceedances are taken a hair early: the loop decides by its own sums
     suspect = judged.where(F.col("ratio") > 1 - 1e-9).select("row_idx").distinct()
-    steps = cells.join(suspect, "row_idx", "left_semi").groupBy("row_idx").agg(F.collect_list(F.struct("station_pos", "value")).alias("all"))
+    there = cells.where("value IS NOT NULL").join(suspect, "row_idx", "left_semi")
+    steps = there.groupBy("row_idx").agg(F.collect_list(F.struct("station_pos", "value")).alias("all"))
 
     def loop(batches):
         for batch in batches:
+            lists = batch.column(1)
+            cell = lists.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             values = np.full((batch.num_rows, n_stations), np.nan)
-            for i, row in enumerate(batch.column(1).to_pylist()):
-                for c in row:
-                    if c["value"] is not None:
-                        values[i, c["station_pos"] - 1] = c["value"]
-            i, j = np.nonzero(remove_outliers(values, w, k_sigma, floor, min_neighbours))
+            values[row, cell.field(0).to_numpy() - 1] = cell.field(1).to_numpy()
+            i, j = np.nonzero(remove_outliers(values, place, w, k_sigma, floor, min_neighbours))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array((j + 1).astype(np.int32))], ["row_idx", "station_pos"])
 
     hits = steps.mapInArrow(loop, "row_idx int, station_pos int").withColumn("hit", F.lit(True))
     marked = cells.join(judged.select("station", "row_idx", F.lit(True).alias("judged")), ["station", "row_idx"], "left")
     return marked.join(hits, ["row_idx", "station_pos"], "left")
+
+
+def distance_scale(metadata: DataFrame, stations: tuple[str, ...]) -> float | None:
+    """The median of all distances between stations, in metres."""
+    return station_pairs(metadata, stations).agg(F.percentile("dist", F.lit(0.5)).alias("sigma")).first()["sigma"]
+
+
+def elevations_known(metadata: DataFrame, stations: tuple[str, ...]) -> bool:
+    """Whether any of the stations has an elevation."""
+    if "ELEV" not in metadata.columns:
+        return False
+    return not metadata.where(F.col("ID").isin(*stations) & F.col("ELEV").cast("double").isNotNull()).isEmpty()

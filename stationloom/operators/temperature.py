@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import quantile, safe_corr, season
 from ..functions.durations import window_points
-from ..plans.result import QCResult, apply_verdict
+from ..plans.result import CELLS, FILLED, QCResult, apply_verdict, never_judged, stored
 from . import kernels as K
 
+#: The range of each season, in degrees.
 SEASONS = {"winter": (-24.44, 23.54), "spring": (-21.05, 38.08), "summer": (-5.85, 46.26), "autumn": (-19.90, 40.87)}
 
 
@@ -22,6 +23,38 @@ def _numbers(**given) -> None:
             raise ValueError(f"{name} is a single number")
 
 
+def _positive(**given) -> None:
+    _numbers(**given)
+    for name, value in given.items():
+        if value <= 0:
+            raise ValueError(f"{name} is above zero")
+
+
+def _whole(least: int, **given) -> None:
+    _numbers(**given)
+    for name, value in given.items():
+        if value != round(value) or value < least:
+            raise ValueError(f"{name} is a whole number from {least} on")
+
+
+def _share(low: float, high: float, ends: str = "()", **given) -> None:
+    """Numbers between two bounds; ``ends`` tells, as brackets do, which bounds count."""
+    _numbers(**given)
+    for name, value in given.items():
+        above = value >= low if ends[0] == "[" else value > low
+        below = value <= high if ends[1] == "]" else value < high
+        if not above or not below:
+            raise ValueError(f"{name} is in {ends[0]}{low}, {high}{ends[1]}")
+
+
+def check_consensus(k_sigma, abs_floor, radius_m, k_neighbours, min_neighbours, landuse_mode) -> None:
+    _positive(k_sigma=k_sigma, abs_floor=abs_floor, radius_m=radius_m)
+    _whole(1, min_neighbours=min_neighbours)
+    _whole(min_neighbours, k_neighbours=k_neighbours)
+    if landuse_mode not in ("graded", "strict", "none"):
+        raise ValueError("landuse_mode is graded, strict or none")
+
+
 def t1_gross_error(result: QCResult, threshold_max: float = 60, threshold_min: float = -40) -> QCResult:
     """Values no sensor can measure: above the maximum, or at or below the minimum."""
     _numbers(threshold_max=threshold_max, threshold_min=threshold_min)
@@ -51,22 +84,32 @@ def t2_out_of_range(result: QCResult, season_thresholds: dict = SEASONS) -> QCRe
 
 def t3_time_consistency(result: QCResult, dt: int = 3, threshold: float = 4) -> QCResult:
     """Isolated spikes."""
-    if not isinstance(dt, int) or dt < 1 or threshold <= 0:
-        raise ValueError("dt is a positive whole number and the threshold is positive")
+    _whole(1, dt=dt)
+    _positive(threshold=threshold)
     marked = K.find_spikes(result.cells, dt, threshold, result.facts.n_time)
     return apply_verdict(result, marked, 3, "t3_time_consistency", dt=dt, threshold=threshold)
 
 
 def t4_stuck_values(result: QCResult, window_size="6 hours", min_valid_frac: float = 0.5, min_non_na: int = 5, sd_tol: float = 0) -> QCResult:
-    """Values that do not change over a window."""
-    if not 0 < min_valid_frac <= 1 or sd_tol < 0:
-        raise ValueError("min_valid_frac is in (0, 1] and sd_tol is not negative")
+    """Values that do not change over a window.
+
+    A window under six hours gets a warning where the values' resolution is
+    0.05 or coarser: genuine plateaus are that long.
+    """
+    _share(0, 1, "(]", min_valid_frac=min_valid_frac)
+    _share(0, math.inf, "[)", sd_tol=sd_tol)
+    _whole(2, min_non_na=min_non_na)
     width = window_points(window_size, result.facts.step)
+    resolution = None
+    if (width - 1) * result.facts.step < 6 * 3600:
+        resolution = result.facts.resolution
+        if resolution is not None and resolution >= 0.05:
+            warnings.warn(f"values of a resolution of {resolution:g} may stand still for {window_size} without a fault", stacklevel=2)
     min_valid = max(min_non_na, math.ceil(min_valid_frac * width))
     if min_valid > width:
         raise ValueError("a window cannot hold so many valid values")
     marked = K.find_stuck(result.cells, width, sd_tol, min_valid, result.facts.n_time)
-    return apply_verdict(result, marked, 4, "t4_stuck_values", width_points=width, min_valid=min_valid, sd_tol=sd_tol)
+    return apply_verdict(result, marked, 4, "t4_stuck_values", window_size=window_size, width_points=width, min_valid=min_valid, sd_tol=sd_tol, resolution=resolution)
 
 
 def default_day_obs(result: QCResult) -> int:
@@ -99,9 +142,10 @@ def climatology(cells: DataFrame, factor: float, min_days: int, min_obs: int, mu
 
 def t5_climatic_outliers(result: QCResult, ext_lim_factor: float = 2.5, min_days: int = 60, min_obs_per_day: int | None = None, require_multi_year: bool = True) -> QCResult:
     """Values beyond what the station's own daily extremes of the month make likely."""
-    if min_days < 20:
-        raise ValueError("quartiles want min_days of 20 or more")
-    min_obs = min_obs_per_day or default_day_obs(result)
+    _positive(ext_lim_factor=ext_lim_factor)
+    _whole(20, min_days=min_days)  # quartiles want as many
+    min_obs = default_day_obs(result) if min_obs_per_day is None else min_obs_per_day
+    _whole(2, min_obs_per_day=min_obs)
     bounds = climatology(result.cells, ext_lim_factor, min_days, min_obs, require_multi_year)
     days = daily(result.cells, min_obs).where("hi IS NOT NULL").withColumn("month", F.month("day"))
     days = days.join(bounds.where("fits"), ["station", "month"]).select("station", "day_idx", F.col("hi").alias("tmax"), F.col("lo").alias("tmin"), "upper", "lower")
@@ -116,8 +160,7 @@ def t5_climatic_outliers(result: QCResult, ext_lim_factor: float = 2.5, min_days
 def t6_spatial_consistency(result: QCResult, metadata: DataFrame | None = None, k_sigma: float = 6, abs_floor: float = 3, radius_m: float = 3000, k_neighbours: int = 5, min_neighbours: int = 2, max_elev_diff: float = 100, landuse_mode: str = "graded") -> QCResult:
     """Values away from the weighted mean of their neighbours, the worst first."""
     key = "t6_spatial_consistency"
-    if landuse_mode not in ("graded", "strict", "none"):
-        raise ValueError("landuse_mode is graded, strict or none")
+    check_consensus(k_sigma, abs_floor, radius_m, k_neighbours, min_neighbours, landuse_mode)
     if metadata is None:
         return result.skip(key, "no metadata")
     matched = K.check_metadata(metadata, result.facts.stations)
@@ -125,14 +168,20 @@ def t6_spatial_consistency(result: QCResult, metadata: DataFrame | None = None,
         return result.skip(key, f"only {matched} stations with metadata")
     edges = K.neighbour_edges(metadata, result.facts.stations, radius_m, k_neighbours, landuse_mode, max_elev_diff)
     marked = K.spatial_outliers(result.cells, edges, result.facts.n_stations, k_sigma, abs_floor, min_neighbours)
-    return apply_verdict(result, marked, 6, key, edges=edges, k_sigma=k_sigma, abs_floor=abs_floor, radius_m=radius_m)
+    out = apply_verdict(
+        result, marked, 6, key, edges=edges, k_sigma=k_sigma, abs_floor=abs_floor, radius_m=radius_m, k_neighbours=k_neighbours, min_neighbours=min_neighbours,
+        landuse_mode=landuse_mode, max_elev_diff=max_elev_diff, sigma_d=K.distance_scale(metadata, result.facts.stations), elevation_used=K.elevations_known(metadata, result.facts.stations),
+    )
+    out.info[key]["never_evaluated"] = never_judged(out, key)
+    return out
 
 
 def t7_spatiotemporal_consistency(result: QCResult, metadata: DataFrame | None = None, radius_m: float = 2500, k_neighbours: int = 5, threshold: float = 0.99) -> QCResult:
     """Values extreme against every near neighbour and against the values before and after."""
     key = "t7_spatiotemporal_consistency"
-    if not 0.5 < threshold < 1:
-        raise ValueError("the threshold is a share between 0.5 and 1")
+    _share(0.5, 1, threshold=threshold)
+    _positive(radius_m=radius_m)
+    _whole(1, k_neighbours=k_neighbours)
     if metadata is None:
         return result.skip(key, "no metadata")
     matched = K.check_metadata(metadata, result.facts.stations)
@@ -157,7 +206,11 @@ def t7_spatiotemporal_consistency(result: QCResult, metadata: DataFrame | None =
     judged = F.col("extreme").isNotNull() & F.col("back").isNotNull() & F.col("on").isNotNull()
     hit = judged & F.col("extreme") & (F.col("back") > F.col("q_back")) & (F.col("on") > F.col("q_on"))
     never = [s for s in result.facts.stations if s not in {r[0] for r in full.select("src").collect()}]
-    return apply_verdict(result, rows.withColumn("judged", judged).withColumn("hit", hit), 7, key, threshold=threshold, never_evaluated=never)
+    within = K.station_pairs(metadata, result.facts.stations).groupBy(F.col("a_ID").alias("station")).agg(F.count(F.when(F.col("dist") <= radius_m, 1)).alias("n_neighbours"))
+    return apply_verdict(
+        result, rows.withColumn("judged", judged).withColumn("hit", hit), 7, key, threshold=threshold, radius_m=radius_m, k_neighbours=k_neighbours,
+        never_evaluated=never, n_neighbours=within,
+    )
 
 
 def diurnal_runs(cells: DataFrame, range_frac: float, min_days: int, min_obs: int, min_stations: int, min_swing: float):
@@ -170,7 +223,7 @@ def diurnal_runs(cells: DataFrame, range_frac: float, min_days: int, min_obs: in
     net = days.groupBy("day_idx").agg(F.count("rng").alias("n_ranges"), F.percentile("rng", F.lit(0.5)).alias("ref"), F.percentile("mean", F.lit(0.5)).alias("net_mean"))
     ref = F.when((F.col("n_ranges") >= min_stations) & (F.col("ref") > 0), F.col("ref"))
     net = net.withColumn("ref", ref)
-    days = days.join(F.broadcast(net), "day_idx").withColumn("judged", F.col("rng").isNotNull() & F.col("ref").isNotNull())
+    days = days.join(net, "day_idx").withColumn("judged", F.col("rng").isNotNull() & F.col("ref").isNotNull())
     low = days.withColumn("low", F.col("judged") & (F.col("rng") < range_frac * F.col("ref")))
     run = K.runs(low, "station", "day_idx", F.col("low")).groupBy("station", "run").agg(
         F.min("day_idx").alias("first"), F.max("day_idx").alias("last"), F.count("*").alias("n_days"),
@@ -183,16 +236,21 @@ def diurnal_runs(cells: DataFrame, range_frac: float, min_days: int, min_obs: in
 def t8_diurnal_range(result: QCResult, range_frac: float = 0.4, min_consecutive_days: int = 3, min_obs_per_day: int | None = None, min_stations: int = 3, min_network_swing: float = 2) -> QCResult:
     """Days on end with hardly any daily range while the network has one: a sensor taken indoors."""
     key = "t8_diurnal_range"
+    _share(0, 1, range_frac=range_frac)
+    _whole(1, min_consecutive_days=min_consecutive_days)
+    min_obs = default_day_obs(result) if min_obs_per_day is None else min_obs_per_day
+    _whole(2, min_obs_per_day=min_obs)
+    _whole(3, min_stations=min_stations)  # a median of fewer is no yardstick
+    _positive(min_network_swing=min_network_swing)
     if result.facts.n_stations < min_stations:
         return result.skip(key, f"only {result.facts.n_stations} stations")
-    min_obs = min_obs_per_day or default_day_obs(result)
     days, runs = diurnal_runs(result.cells, range_frac, min_consecutive_days, min_obs, min_stations, min_network_swing)
     indoor = runs.where("verdict = 'indoor'").select("station", F.explode(F.sequence("first", "last")).alias("day_idx"), F.lit(True).alias("hit"))
-    marked = result.cells.join(F.broadcast(days.select("station", "day_idx", "judged")), ["station", "day_idx"], "left").join(indoor, ["station", "day_idx"], "left")
+    marked = result.cells.join(days.select("station", "day_idx", "judged"), ["station", "day_idx"], "left").join(indoor, ["station", "day_idx"], "left")
     there = F.col("value").isNotNull()
     marked = marked.withColumn("judged", F.col("judged") & there).withColumn("hit", F.col("hit") & there)
     return apply_verdict(
-        result, marked, 8, key, range_frac=range_frac, min_obs_per_day=min_obs,
+        result, marked, 8, key, range_frac=range_frac, min_consecutive_days=min_consecutive_days, min_obs_per_day=min_obs, min_stations=min_stations, min_network_swing=min_network_swing,
         days_unjudged=days.where("ref IS NULL").select("day_idx").distinct(), runs_undecided=runs.where("verdict = 'undecided'"),
     )
 
@@ -208,7 +266,7 @@ def lag_table(result: QCResult, window_days: int, max_lag: int, min_valid_frac:
     rows = rows.withColumn("net", F.when(F.col("n_valid") >= min_stations, F.col("net")))
     both = F.col("value").isNotNull() & F.col("net").isNotNull()
     judged = rows.groupBy("station", "win").agg(F.count(F.when(both, 1)).alias("n")).where(F.col("n") >= min_valid_frac * window_days * 86400 / step).select("station", "win")
-    asked = rows.where("value IS NOT NULL").join(F.broadcast(judged), ["station", "win"]).select("station", "win", "at", "value")
+    asked = rows.where("value IS NOT NULL").join(judged, ["station", "win"]).select("station", "win", "at", "value")
     lags = F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag")
     asked = asked.select("station", "win", "at", "value", lags).withColumn("at", F.col("at") + F.col("lag").cast("long") * F.lit(round(step * 1e6)).cast("long"))
     net = rows.where("net IS NOT NULL").select("station", "at", "net")
@@ -231,7 +289,7 @@ def clock_episodes(lags: DataFrame, min_lag: int, min_windows: int, step: float)
     seen = lags.where("lag IS NOT NULL").withColumn("off", F.abs(F.rint("lag")) >= min_lag)
     share = seen.groupBy("win").agg(F.count(F.when(F.col("off"), 1)).alias("n_off"), F.count("*").alias("n"))
     undecided = share.where("n_off > 0 AND n_off >= 0.5 * n").select("win")
-    decided = seen.join(F.broadcast(undecided), "win", "left_anti")
+    decided = seen.join(undecided, "win", "left_anti")
     by = Window.partitionBy("station").orderBy("win")
     decided = decided.withColumn("place", F.row_number().over(by)).withColumn("sign", F.when(F.col("off"), F.signum("lag")))
     run = F.col("place") - F.row_number().over(Window.partitionBy("station", "sign").orderBy("win"))
@@ -246,26 +304,35 @@ def clock_episodes(lags: DataFrame, min_lag: int, min_windows: int, step: float)
 def t9_clock_offset(result: QCResult, window_days: int = 7, max_lag: int | None = None, min_lag: int | None = None, min_consecutive_windows: int = 2, min_valid_frac: float = 0.5, min_cor: float = 0.7, min_stations: int = 3) -> QCResult:
     """Windows on end in which a station runs early or late against the network."""
     key, step = "t9_clock_offset", result.facts.step
+    _whole(1, window_days=window_days, min_consecutive_windows=min_consecutive_windows)
+    _share(0, 1, "(]", min_valid_frac=min_valid_frac)
+    _share(0, 1, "[)", min_cor=min_cor)
+    _whole(3, min_stations=min_stations)
     if result.facts.n_stations < min_stations or not step:
         return result.skip(key, f"only {result.facts.n_stations} stations" if step else "no time step")
-    min_lag, max_lag = min_lag or max(1, round(3600 / step)), max_lag or max(1, round(7200 / step))
+    min_lag = max(1, round(3600 / step)) if min_lag is None else min_lag
+    max_lag = max(1, round(7200 / step)) if max_lag is None else max_lag
+    _whole(1, max_lag=max_lag, min_lag=min_lag)
+    if min_lag > max_lag:
+        raise ValueError("min_lag is at most max_lag")
     lags = lag_table(result, window_days, max_lag, min_valid_frac, min_cor, min_stations)
     off, undecided, episodes = clock_episodes(lags, min_lag, min_consecutive_windows, step)
     bad = off.join(episodes.select("station", "sign", "run"), ["station", "sign", "run"], "left_semi").select("station", "win", F.lit(True).alias("hit"))
     win = F.floor((F.col("day_idx") - 1) / window_days).cast("int")
     seen = lags.where("lag IS NOT NULL").join(undecided, "win", "left_anti").select("station", "win", F.lit(True).alias("judged"))
     there = F.col("value").isNotNull()
-    marked = result.cells.withColumn("win", win).join(F.broadcast(seen), ["station", "win"], "left").join(F.broadcast(bad), ["station", "win"], "left")
+    marked = result.cells.withColumn("win", win).join(seen, ["station", "win"], "left").join(bad, ["station", "win"], "left")
     marked = marked.withColumn("judged", F.col("judged") & there).withColumn("hit", F.col("hit") & there)
-    return apply_verdict(result, marked, 9, key, lags=lags, episodes=episodes.drop("sign", "run"), windows_undecided=undecided, min_lag=min_lag, max_lag=max_lag)
+    return apply_verdict(result, marked, 9, key, lags=lags, episodes=episodes.drop("sign", "run"), windows_undecided=undecided, min_lag=min_lag, max_lag=max_lag, window_days=window_days, min_cor=min_cor)
 
 
 def interpolate(result: QCResult, maxgap: int, refill_flagged: bool, key: str) -> QCResult:
-    if not isinstance(maxgap, int) or maxgap < 1:
-        raise ValueError("maxgap is a positive whole number")
-    rows = K.fill_gaps(result.cells, maxgap, refill_flagged, result.facts.step)
+    _whole(1, maxgap=maxgap)
+    rows = K.fill_gaps(result.cells, int(maxgap), refill_flagged, result.facts.step, result.facts.regular)
+    if result.storing:
+        rows = stored(rows.select(*CELLS, "filled"), key)
     done = F.col("filled").isNotNull()
-    code = F.when(done, 50 + F.coalesce("flag", F.lit(0))).otherwise(F.col("flag")).cast("int")
+    code = F.when(done, FILLED + F.coalesce("flag", F.lit(0))).otherwise(F.col("flag")).cast("int")
     cells = rows.withColumn("value", F.coalesce("value", "filled"))
     counts = rows.where(done).agg(F.count(F.when(F.col("flag").isNull(), 1)).alias("n_gap_filled"), F.count("flag").alias("n_refilled"))
     return result.with_cells(cells.withColumn("flag", code)).record(key, maxgap=maxgap, refill_flagged=refill_flagged, counts=counts)

@@ -1,13 +1,15 @@
 """Registered queries over the star-schema tables, and their SQL.
 
-``events`` gives hourly panels of six stations: all events, or those with even
-and odd ids as two variables.  ``lineitem`` gives a panel of several years.
-Thresholds fit the values there.  A level's result has a row for each cell:
-its flag (-1: no value), the value left, and the station's judged cells.
+``events`` gives hourly panels of six stations: the mean value of all events as
+temperature, and the mean of their user numbers, folded to 0..100, as
+humidity.  ``lineitem`` gives a panel of several years.  Thresholds fit the
+values there.  A level's result has a row for each cell: its flag (-1: no
+value), the value left, and the station's judged cells.
 """
 
 from __future__ import annotations
 
+import uuid
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +19,10 @@ from ..operators import humidity as H
 from ..operators import kernels as K
 from ..operators import temperature as T
 from ..sources import panel as P
+from ..streaming.stateless import flag_temperature
 from . import report as R
 from . import runner
-from .result import QCResult
+from .result import QCResult, shared_dir
 
 N_STATIONS = 6
 STATIONS = [(f"S{i}", round(46.95 + 0.004 * i, 4), round(7.44 + 0.003 * ((i * 7) % 5), 4), ("Sealed Areas", "Forest", "Vegetated Areas")[i % 3], 540.0 + 30 * i if i < 5 else None) for i in range(N_STATIONS)]
@@ -34,15 +37,15 @@ def _mean(rows: DataFrame) -> DataFrame:
     return rows.where("value IS NOT NULL").groupBy("station", "ts").agg(F.round(total, 4).alias("value"))
 
 
-def events_panel(spark: SparkSession, sf_dir: str, parity: int | None = None, what: str = "temperature") -> QCResult:
+def events_panel(spark: SparkSession, sf_dir: str, what: str = "temperature") -> QCResult:
+    """The hourly panel of ``temperature`` or ``humidity``; its levels store what they mark."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    if parity is not None:
-        events = events.where(F.col("event_id") % 2 == parity)
     station = F.concat(F.lit("S"), (F.col("user_id") % N_STATIONS).cast("string"))
-    rows = events.select(station.alias("station"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts"), "value")
+    value = F.col("value") if what == "temperature" else (F.col("user_id") % 101).cast("double")
+    rows = events.select(station.alias("station"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts"), value.alias("value"))
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        return P.from_long(_mean(rows), what=what, store=True)
+        return P.from_long(_mean(rows), what=what, store=True).stored()
 
 
 def lineitem_panel(spark: SparkSession, sf_dir: str) -> QCResult:
@@ -52,18 +55,18 @@ def lineitem_panel(spark: SparkSession, sf_dir: str) -> QCResult:
     rows = items.select(station.alias("station"), ts.alias("ts"), F.col("l_extendedprice").alias("value"))
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        return P.from_long(_mean(rows), what="price", store=True)
+        return P.from_long(_mean(rows), what="price", store=True).stored()
 
 
 def metadata(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(STATIONS, "ID string, LAT double, LON double, Landuse string, ELEV double")
 
 
-def _cells_sql(source: str, station: str, ts: str, value: str, where: str = "true", p: str = "") -> str:
+def _cells_sql(source: str, station: str, ts: str, value: str, p: str = "") -> str:
     return f"""
 {p}raw AS (
   SELECT {station} AS station, {ts} AS ts, round(CAST(sum(CAST(round({value}, 4) AS DECIMAL(18,4))) AS DOUBLE) / count({value}), 4) AS value
-  FROM {source} WHERE {value} IS NOT NULL AND {where} GROUP BY 1, 2),
+  FROM {source} WHERE {value} IS NOT NULL GROUP BY 1, 2),
 {p}times AS (
   SELECT ts, row_number() OVER (ORDER BY ts) AS row_idx, CAST(ts AS DATE) AS day, dense_rank() OVER (ORDER BY CAST(ts AS DATE)) AS day_idx
   FROM (SELECT DISTINCT ts FROM {p}raw)),
@@ -72,9 +75,9 @@ def _cells_sql(source: str, station: str, ts: str, value: str, where: str = "tru
   FROM {p}times t CROSS JOIN (SELECT DISTINCT station FROM {p}raw) s LEFT JOIN {p}raw r ON r.ts = t.ts AND r.station = s.station)"""
 
 
-_EVENT = ("events", f"'S' || (user_id % {N_STATIONS})", "date_trunc('hour', ts)", "value")
-EVENTS = _cells_sql(*_EVENT)
-EVEN, ODD = _cells_sql(*_EVENT, "event_id % 2 = 0", "t_"), _cells_sql(*_EVENT, "event_id % 2 = 1")
+_EVENT = ("events", f"'S' || (user_id % {N_STATIONS})", "date_trunc('hour', ts)")
+EVENTS, TWIN = _cells_sql(*_EVENT, "value"), _cells_sql(*_EVENT, "value", p="t_")
+HUMID = _cells_sql(*_EVENT, "CAST(user_id % 101 AS DOUBLE)")
 ITEMS = _cells_sql("lineitem", "'S' || (l_suppkey % 5)", "l_shipdate + to_hours(CAST(l_linenumber AS BIGINT))", "l_extendedprice")
 _PLACES = ", ".join(f"('{i}', {lat}, {lon}, '{use}', {'NULL' if e is None else e})" for i, lat, lon, use, e in STATIONS)
 
@@ -99,7 +102,7 @@ edges AS (
 def _verdict_sql(ctes: str, code: int) -> str:
     """SQL for a level: ``ctes`` ends with ``marked`` (station, row_idx, value, hit, judged)."""
     return f"""
-WITH {ctes}
+WITH RECURSIVE {ctes}
 SELECT station, CAST(row_idx AS INT) AS row_idx,
        CASE WHEN coalesce(hit, false) THEN {code} WHEN value IS NULL THEN -1 ELSE 0 END AS flag,
        CASE WHEN NOT coalesce(hit, false) THEN round(value, 6) END AS value,
@@ -108,8 +111,11 @@ FROM marked"""
 
 
 def _level(result: QCResult) -> DataFrame:
-    tally = next(r for r in reversed(list(result.info.values())) if "tally" in r)["tally"]
-    cells = result.cells.join(F.broadcast(tally.select("station", "n_judged")), "station")
+    record = list(result.info.values())[-1]
+    if record.get("skipped"):
+        cells = result.cells.withColumn("n_judged", F.lit(0).cast("long"))
+    else:
+        cells = result.cells.join(F.broadcast(record["tally"].select("station", "n_judged")), "station")
     return cells.select("station", "row_idx", F.coalesce("flag", F.lit(-1)).alias("flag"), F.round("value", 6).alias("value"), "n_judged")
 
 
@@ -134,6 +140,16 @@ def panel_densify(spark, d):
     return events_panel(spark, d).cells.select("station", "row_idx", "day_idx", "value")
 
 
+@_query("panel_wide", f"WITH {EVENTS} SELECT station, CAST(row_idx AS INT) AS row_idx, CAST(day_idx AS INT) AS day_idx, value FROM cells")
+def panel_wide(spark, d):
+    """The same panel by way of a wide table: a row for each time, a column for each station."""
+    long = events_panel(spark, d).cells
+    table = long.groupBy("ts").pivot("station", [f"S{i}" for i in range(N_STATIONS)]).agg(F.first("value"))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return P.from_wide(table, "ts").cells.select("station", "row_idx", "day_idx", "value")
+
+
 @_query(
     "dataset_stats",
     f"""WITH {EVENTS}, steps AS (SELECT epoch(ts) - epoch(lag(ts) OVER (ORDER BY ts)) AS step FROM times)
@@ -149,7 +165,10 @@ def dataset_stats(spark, d):
     return size.join(step).join(P.resolution_of(result.cells))
 
 
-@_query("t1_gross", _verdict_sql(EVENTS + ", marked AS (SELECT *, value IS NOT NULL AS judged, value > 200 OR value <= 2 AS hit FROM cells)", 1))
+_T1 = "marked AS (SELECT *, value IS NOT NULL AS judged, value > 200 OR value <= 2 AS hit FROM cells)"
+
+
+@_query("t1_gross", _verdict_sql(f"{EVENTS}, {_T1}", 1))
 def t1_gross(spark, d):
     return _level(T.t1_gross_error(events_panel(spark, d), 200, 2))
 
@@ -158,13 +177,27 @@ _SEASONS = {"winter": (3, 150), "spring": (5, 120), "summer": (10, 100), "autumn
 _SEASON_SQL = """CASE WHEN month(ts) IN (12, 1, 2) THEN value < 3 OR value > 150 WHEN month(ts) IN (6, 7, 8) THEN value < 10 OR value > 100 ELSE value < 5 OR value > 120 END"""
 
 
-@_query("t2_seasonal", _verdict_sql(EVENTS + f", marked AS (SELECT *, value IS NOT NULL AS judged, {_SEASON_SQL} AS hit FROM cells)", 2))
+_T2 = f"marked AS (SELECT *, value IS NOT NULL AS judged, {_SEASON_SQL} AS hit FROM cells)"
+
+
+@_query("t2_seasonal", _verdict_sql(f"{EVENTS}, {_T2}", 2))
 def t2_seasonal(spark, d):
     return _level(T.t2_out_of_range(events_panel(spark, d), _SEASONS))
 
 
-def _spikes_sql(cells: str, threshold: float) -> str:
-    return f"""{cells},
+@_query("stream_flags", f"SELECT event_id, CASE WHEN value > 200 OR value <= 2 THEN 1 WHEN {_SEASON_SQL} THEN 2 WHEN value IS NOT NULL THEN 0 END AS flag, CASE WHEN NOT (value > 200 OR value <= 2 OR {_SEASON_SQL}) THEN value END AS value FROM events")
+def stream_flags(spark, d):
+    """Events as a stream of single cells, all that is there, through the levels that need no other cell."""
+    events = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events*.parquet")
+    cells = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    flagged = flag_temperature(cells, 200, 2, _SEASONS).writeStream.option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start(f"{at}/cells", format="parquet")
+    flagged.awaitTermination()
+    return spark.read.schema("event_id long, flag int, value double").parquet(f"{at}/cells")
+
+
+def _spikes_sql(threshold: float) -> str:
+    return f"""
 framed AS (
   SELECT *, max(row_idx) OVER () AS n,
     count(value) OVER a AS na, quantile_cont(value, 0.5) OVER a AS ma, count(value) OVER b AS nb, quantile_cont(value, 0.5) OVER b AS mb,
@@ -177,19 +210,19 @@ checked AS (SELECT *, value IS NOT NULL AND row_idx BETWEEN 2 AND n - 1 AND na >
 marked AS (SELECT *, judged AND abs(value - ma) >= {threshold} AND abs(value - mb) >= {threshold} AND abs(value - mc) >= {threshold} AS hit FROM checked)"""
 
 
-@_query("t3_spikes", _verdict_sql(_spikes_sql(EVENTS, 60), 3))
+@_query("t3_spikes", _verdict_sql(f"{EVENTS}, {_spikes_sql(60)}", 3))
 def t3_spikes(spark, d):
     return _level(T.t3_time_consistency(events_panel(spark, d), 3, 60))
 
 
-@_query("rh3_spikes", _verdict_sql(_spikes_sql(ODD, 80), 3))
+@_query("rh3_spikes", _verdict_sql(f"{HUMID}, {_spikes_sql(30)}", 3))
 def rh3_spikes(spark, d):
-    return _level(H.rh3_spike(events_panel(spark, d, 1, "humidity"), 3, 80))
+    return _level(H.rh3_spike(events_panel(spark, d, "humidity"), 3, 30))
 
 
-def _stuck_sql(cells: str, width: int, tol: float, least: int, ceiling: str | None = None) -> str:
-    top = f", tops AS (SELECT station, {ceiling} AS top FROM cells GROUP BY station)" if ceiling else ", tops AS (SELECT station, NULL::DOUBLE AS top FROM cells GROUP BY station)"
-    return f"""{cells}{top},
+def _stuck_sql(width: int, tol: float, least: int, ceiling: str = "NULL::DOUBLE") -> str:
+    return f"""
+tops AS (SELECT station, {ceiling} AS top FROM cells GROUP BY station),
 framed AS (
   SELECT c.*, t.top, count(value) OVER (PARTITION BY c.station) AS total, max(row_idx) OVER () AS n,
     count(value) OVER w AS cnt, stddev_samp(value) OVER w AS sd, quantile_cont(value, 0.5) OVER w AS med
@@ -202,33 +235,39 @@ marked AS (
   WINDOW f AS (PARTITION BY station ORDER BY row_idx ROWS BETWEEN CURRENT ROW AND {width - 1} FOLLOWING))"""
 
 
-@_query("t4_stuck", _verdict_sql(_stuck_sql(EVENTS, 5, 8, 3), 4))
+@_query("t4_stuck", _verdict_sql(f"{EVENTS}, {_stuck_sql(5, 8, 3)}", 4))
 def t4_stuck(spark, d):
     return _level(T.t4_stuck_values(events_panel(spark, d), "4 hours", 0.5, 3, 8))
 
 
-@_query("rh4_stuck", _verdict_sql(_stuck_sql(ODD, 5, 10, 3, "least(60, quantile_cont(value, 0.8))"), 4))
+@_query("rh4_stuck", _verdict_sql(f"{HUMID}, {_stuck_sql(5, 10, 3, 'least(60, quantile_cont(value, 0.8))')}", 4))
 def rh4_stuck(spark, d):
-    return _level(H.rh4_stuck_values(events_panel(spark, d, 1, "humidity"), "4 hours", 10, 60, 0.8))
+    return _level(H.rh4_stuck_values(events_panel(spark, d, "humidity"), "4 hours", 10, 60, 0.8))
 
 
-_CLIMATE = ITEMS + """,
+def _climate_sql(factor: float, min_obs: int) -> str:
+    return f"""
 days AS (
   SELECT station, day, day_idx, month(day) AS mon, year(day) AS yr, count(value) AS n,
-    CASE WHEN count(value) >= 2 THEN max(value) END AS hi, CASE WHEN count(value) >= 2 THEN min(value) END AS lo
+    CASE WHEN count(value) >= {min_obs} THEN max(value) END AS hi, CASE WHEN count(value) >= {min_obs} THEN min(value) END AS lo
   FROM cells GROUP BY station, day, day_idx),
 bounds AS (
   SELECT station, mon, sum(n) AS n_values, count(hi) AS n_days, count(DISTINCT CASE WHEN hi IS NOT NULL THEN yr END) AS n_years,
     quantile_cont(hi, 0.75) AS h3, quantile_cont(hi, 0.25) AS h1, quantile_cont(lo, 0.75) AS l3, quantile_cont(lo, 0.25) AS l1
   FROM days GROUP BY station, mon),
 limits AS (
-  SELECT station, mon, n_days, n_years, n_days >= 60 AND n_years >= 2 AS fits, h3 + 0.5 * (h3 - h1) AS upper, l1 - 0.5 * (l3 - l1) AS lower
-  FROM bounds WHERE n_values > 0)"""
+  SELECT station, mon, n_days, n_years, n_days >= 60 AND n_years >= 2 AS fits, h3 + {factor} * (h3 - h1) AS upper, l1 - {factor} * (l3 - l1) AS lower
+  FROM bounds WHERE n_values > 0),
+marked AS (
+  SELECT c.*, c.value IS NOT NULL AND l.upper IS NOT NULL AS judged,
+    (d.hi > l.upper AND c.value > l.upper) OR (d.lo < l.lower AND c.value < l.lower) AS hit
+  FROM cells c LEFT JOIN (SELECT * FROM days WHERE hi IS NOT NULL) d USING (station, day_idx)
+  LEFT JOIN (SELECT * FROM limits WHERE fits) l ON l.station = d.station AND l.mon = d.mon)"""
 
 
 @_query(
     "t5_bounds",
-    f"""WITH {_CLIMATE} SELECT station, CAST(mon AS INT) AS month, n_days, n_years, fits,
+    f"""WITH {ITEMS}, {_climate_sql(0.5, 2)} SELECT station, CAST(mon AS INT) AS month, n_days, n_years, fits,
 CASE WHEN fits THEN round(upper, 7) END AS upper, CASE WHEN fits THEN round(lower, 7) END AS lower FROM limits""",
 )
 def t5_bounds(spark, d):
@@ -236,19 +275,7 @@ def t5_bounds(spark, d):
     return table.select("station", "month", "n_days", "n_years", "fits", F.round("upper", 7).alias("upper"), F.round("lower", 7).alias("lower"))
 
 
-@_query(
-    "t5_flags",
-    _verdict_sql(
-        _CLIMATE
-        + """,
-marked AS (
-  SELECT c.*, c.value IS NOT NULL AND l.upper IS NOT NULL AS judged,
-    (d.hi > l.upper AND c.value > l.upper) OR (d.lo < l.lower AND c.value < l.lower) AS hit
-  FROM cells c LEFT JOIN (SELECT * FROM days WHERE hi IS NOT NULL) d USING (station, day_idx)
-  LEFT JOIN (SELECT * FROM limits WHERE fits) l ON l.station = d.station AND l.mon = d.mon)""",
-        5,
-    ),
-)
+@_query("t5_flags", _verdict_sql(f"{ITEMS}, {_climate_sql(0.5, 2)}", 5))
 def t5_flags(spark, d):
     return _level(T.t5_climatic_outliers(lineitem_panel(spark, d), 0.5, 60, 2))
 
@@ -282,35 +309,61 @@ def t6_first_pass(spark, d):
     return table.select("station", "row_idx", "nn", F.round("mu", 5).alias("mu"), F.round("sig", 5).alias("sig"), F.round("ratio", 5).alias("ratio"))
 
 
-@_query("t6_flags")
+def _consensus_sql(k_sigma: float, floor: float) -> str:
+    """The removal loop: at each time the worst exceedance goes, until there is none."""
+    return f"""
+near AS MATERIALIZED (
+  SELECT c.row_idx, c.station, c.value AS v, e.dst, e.w, n.value AS x
+  FROM cells c JOIN edges e ON e.src = c.station JOIN cells n ON n.station = e.dst AND n.row_idx = c.row_idx
+  WHERE c.value IS NOT NULL AND n.value IS NOT NULL),
+state(row_idx, gone) AS (
+  SELECT DISTINCT row_idx, CAST([] AS VARCHAR[]) FROM near
+  UNION ALL
+  SELECT row_idx, list_append(gone, station) FROM (
+    SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY ratio DESC, station) AS place FROM (
+      SELECT row_idx, gone, station, abs(v - mu) / greatest({k_sigma} * sqrt(greatest(sq - mu * mu, 0)), {floor}) AS ratio FROM (
+        SELECT s.row_idx, s.gone, n.station, any_value(n.v) AS v, sum(n.w * n.x) / sum(n.w) AS mu, sum(n.w * n.x * n.x) / sum(n.w) AS sq
+        FROM state s JOIN near n ON n.row_idx = s.row_idx AND NOT list_contains(s.gone, n.station) AND NOT list_contains(s.gone, n.dst)
+        GROUP BY s.row_idx, s.gone, n.station HAVING count(*) >= 2)))
+  WHERE place = 1 AND ratio > 1),
+removed AS (SELECT row_idx, max_by(gone, len(gone)) AS gone FROM state GROUP BY row_idx),
+seen AS (SELECT row_idx, station FROM near GROUP BY ALL HAVING count(*) >= 2),
+marked AS (
+  SELECT c.*, s.station IS NOT NULL AS judged, coalesce(list_contains(r.gone, c.station), false) AS hit
+  FROM cells c LEFT JOIN seen s ON s.row_idx = c.row_idx AND s.station = c.station LEFT JOIN removed r ON r.row_idx = c.row_idx)"""
+
+
+_T6 = f"{_edges_sql(3000, 5, False, 100)}, {_consensus_sql(3, 20)}"
+
+
+@_query("t6_flags", _verdict_sql(f"{EVENTS}, {_T6}", 6))
 def t6_flags(spark, d):
     return _level(T.t6_spatial_consistency(events_panel(spark, d), metadata(spark), 3, 20, landuse_mode="none"))
 
 
-@_query(
-    "t7_flags",
-    _verdict_sql(
-        f"""{EVENTS}, {_edges_sql(2500, 2, False, None)},
+def _extremes_sql(threshold: float) -> str:
+    return f"""{_edges_sql(2500, 2, False, None)},
 full_set AS (SELECT src FROM edges GROUP BY src HAVING count(*) = 2),
 dif AS (
   SELECT c.station, e.dst, c.row_idx, c.value - n.value AS dif FROM cells c JOIN edges e ON e.src = c.station JOIN full_set USING (src)
   JOIN cells n ON n.station = e.dst AND n.row_idx = c.row_idx WHERE c.value IS NOT NULL AND n.value IS NOT NULL),
-lim AS (SELECT station, dst, quantile_cont(dif, 0.9) AS up, quantile_cont(dif, 0.1) AS lo FROM dif GROUP BY ALL),
+lim AS (SELECT station, dst, quantile_cont(dif, {threshold}) AS up, quantile_cont(dif, 1 - {threshold}) AS lo FROM dif GROUP BY ALL),
 spatial AS (SELECT station, row_idx, bool_and(dif >= up OR dif <= lo) AS extreme FROM dif JOIN lim USING (station, dst) GROUP BY ALL HAVING count(*) = 2),
 steps AS (
   SELECT *, abs(value - lag(value) OVER w) AS back, abs(lead(value) OVER w - value) AS onw FROM cells WINDOW w AS (PARTITION BY station ORDER BY row_idx)),
-q AS (SELECT station, quantile_cont(back, 0.9) AS qb, quantile_cont(onw, 0.9) AS qo FROM steps GROUP BY station),
+q AS (SELECT station, quantile_cont(back, {threshold}) AS qb, quantile_cont(onw, {threshold}) AS qo FROM steps GROUP BY station),
 marked AS (
   SELECT s.*, x.extreme IS NOT NULL AND back IS NOT NULL AND onw IS NOT NULL AS judged, x.extreme AND back > qb AND onw > qo AS hit
-  FROM steps s JOIN q USING (station) LEFT JOIN spatial x USING (station, row_idx))""",
-        7,
-    ),
-)
+  FROM steps s JOIN q USING (station) LEFT JOIN spatial x USING (station, row_idx))"""
+
+
+@_query("t7_flags", _verdict_sql(f"{EVENTS}, {_extremes_sql(0.9)}", 7))
 def t7_flags(spark, d):
     return _level(T.t7_spatiotemporal_consistency(events_panel(spark, d), metadata(spark), 2500, 2, 0.9))
 
 
-_DAILY = EVENTS + """,
+def _daily_sql(share: float, min_days: int, min_swing: float) -> str:
+    return f"""
 days AS (
   SELECT station, day_idx, CASE WHEN count(value) >= 12 THEN max(value) - min(value) END AS rng, CASE WHEN count(value) >= 12 THEN avg(value) END AS mean
   FROM cells GROUP BY station, day_idx),
@@ -318,36 +371,30 @@ net AS (SELECT day_idx, count(rng) AS n, quantile_cont(rng, 0.5) AS med, quantil
 low AS (
   SELECT d.*, n.net_mean, CASE WHEN n.n >= 3 AND n.med > 0 THEN n.med END AS ref FROM days d JOIN net n USING (day_idx)),
 runs AS (
-  SELECT *, day_idx - row_number() OVER (PARTITION BY station ORDER BY day_idx) AS run FROM low WHERE rng IS NOT NULL AND ref IS NOT NULL AND rng < 0.8 * ref),
+  SELECT *, day_idx - row_number() OVER (PARTITION BY station ORDER BY day_idx) AS run FROM low WHERE rng IS NOT NULL AND ref IS NOT NULL AND rng < {share} * ref),
 run AS (
   SELECT station, min(day_idx) AS first, max(day_idx) AS last, count(*) AS n_days, max(net_mean) - min(net_mean) AS net_swing, max(mean) - min(mean) AS own_swing
-  FROM runs GROUP BY station, run HAVING count(*) >= 2),
-judged_runs AS (SELECT *, CASE WHEN net_swing < 5 THEN 'undecided' WHEN own_swing >= 0.8 * net_swing THEN 'acquitted' ELSE 'indoor' END AS verdict FROM run)"""
+  FROM runs GROUP BY station, run HAVING count(*) >= {min_days}),
+judged_runs AS (SELECT *, CASE WHEN net_swing < {min_swing} THEN 'undecided' WHEN own_swing >= {share} * net_swing THEN 'acquitted' ELSE 'indoor' END AS verdict FROM run),
+marked AS (
+  SELECT c.*, c.value IS NOT NULL AND l.rng IS NOT NULL AND l.ref IS NOT NULL AS judged,
+    c.value IS NOT NULL AND EXISTS (SELECT 1 FROM judged_runs r WHERE r.station = c.station AND r.verdict = 'indoor' AND c.day_idx BETWEEN r.first AND r.last) AS hit
+  FROM cells c JOIN low l USING (station, day_idx))"""
 
 
-@_query("t8_runs", f"WITH {_DAILY} SELECT station, CAST(first AS INT) AS first, CAST(last AS INT) AS last, n_days, round(net_swing, 5) AS net_swing, round(own_swing, 5) AS own_swing, verdict FROM judged_runs")
+@_query("t8_runs", f"WITH {EVENTS}, {_daily_sql(0.8, 2, 5)} SELECT station, CAST(first AS INT) AS first, CAST(last AS INT) AS last, n_days, round(net_swing, 5) AS net_swing, round(own_swing, 5) AS own_swing, verdict FROM judged_runs")
 def t8_runs(spark, d):
     _, runs = T.diurnal_runs(events_panel(spark, d).cells, 0.8, 2, 12, 3, 5)
     return runs.select("station", "first", "last", "n_days", F.round("net_swing", 5).alias("net_swing"), F.round("own_swing", 5).alias("own_swing"), "verdict")
 
 
-@_query(
-    "t8_flags",
-    _verdict_sql(
-        _DAILY
-        + """,
-marked AS (
-  SELECT c.*, c.value IS NOT NULL AND l.rng IS NOT NULL AND l.ref IS NOT NULL AS judged,
-    c.value IS NOT NULL AND EXISTS (SELECT 1 FROM judged_runs r WHERE r.station = c.station AND r.verdict = 'indoor' AND c.day_idx BETWEEN r.first AND r.last) AS hit
-  FROM cells c JOIN low l USING (station, day_idx))""",
-        8,
-    ),
-)
+@_query("t8_flags", _verdict_sql(f"{EVENTS}, {_daily_sql(0.8, 2, 5)}", 8))
 def t8_flags(spark, d):
     return _level(T.t8_diurnal_range(events_panel(spark, d), 0.8, 2, 12, 3, 5))
 
 
-_LAGS = EVENTS + """,
+def _lags_sql(min_cor: float, min_windows: int) -> str:
+    return f"""
 net AS (SELECT c.*, (SELECT quantile_cont(o.value, 0.5) FROM cells o WHERE o.ts = c.ts AND o.station <> c.station) AS med,
   count(value) OVER (PARTITION BY ts) AS n_valid, CAST(floor((day_idx - 1) / 7) AS INT) AS win FROM cells c),
 ref AS (SELECT station, ts, win, value, CASE WHEN n_valid >= 3 THEN med END AS net FROM net),
@@ -356,35 +403,28 @@ asked AS (SELECT r.station, r.win, r.ts, r.value, l.lag FROM ref r JOIN jud USIN
 cors AS (
   SELECT a.station, a.win, a.lag, corr(a.value, n.net) AS r FROM asked a JOIN ref n ON n.station = a.station AND n.ts = a.ts + to_hours(a.lag)
   WHERE n.net IS NOT NULL GROUP BY ALL HAVING count(*) >= 3 AND max(a.value) > min(a.value) AND max(n.net) > min(n.net)),
-near AS (SELECT *, lag(r) OVER w AS r0, lead(r) OVER w AS r2, row_number() OVER (PARTITION BY station, win ORDER BY round(r, 12) DESC, lag) AS place
+beside AS (SELECT *, lag(r) OVER w AS r0, lead(r) OVER w AS r2, row_number() OVER (PARTITION BY station, win ORDER BY round(r, 12) DESC, lag) AS place
   FROM cors WINDOW w AS (PARTITION BY station, win ORDER BY lag)),
 best AS (
   SELECT station, win, r, lag + CASE WHEN abs(lag) < 2 AND r0 - 2 * r + r2 < 0 THEN greatest(-0.5, least(0.5, 0.5 * (r0 - r2) / (r0 - 2 * r + r2))) ELSE 0 END AS pos
-  FROM near WHERE place = 1)"""
+  FROM beside WHERE place = 1),
+found AS (SELECT station, win, round(pos, 2) AS lag, round_even(round(pos, 2), 0) AS whole FROM best WHERE r >= {min_cor}),
+und AS (SELECT win FROM found GROUP BY win HAVING count(*) FILTER (WHERE abs(whole) >= 1) > 0 AND count(*) FILTER (WHERE abs(whole) >= 1) >= 0.5 * count(*)),
+dec AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY win) AS place, CASE WHEN abs(whole) >= 1 THEN sign(lag) END AS sg FROM found WHERE win NOT IN (SELECT win FROM und)),
+off AS (SELECT *, place - row_number() OVER (PARTITION BY station, sg ORDER BY win) AS run FROM dec WHERE sg IS NOT NULL),
+bad AS (SELECT station, win FROM off QUALIFY count(*) OVER (PARTITION BY station, sg, run) >= {min_windows}),
+marked AS (
+  SELECT c.station, c.row_idx, c.value, c.value IS NOT NULL AND d.station IS NOT NULL AS judged, c.value IS NOT NULL AND b.station IS NOT NULL AS hit
+  FROM net c LEFT JOIN dec d ON d.station = c.station AND d.win = c.win LEFT JOIN bad b ON b.station = c.station AND b.win = c.win)"""
 
 
-@_query("t9_lags", f"WITH {_LAGS} SELECT j.station, j.win, round(b.r, 5) AS r, CASE WHEN b.r >= 0.05 THEN round(b.pos, 2) END AS lag FROM jud j LEFT JOIN best b USING (station, win)")
+@_query("t9_lags", f"WITH {EVENTS}, {_lags_sql(0.05, 1)} SELECT j.station, j.win, round(b.r, 5) AS r, CASE WHEN b.r >= 0.05 THEN round(b.pos, 2) END AS lag FROM jud j LEFT JOIN best b USING (station, win)")
 def t9_lags(spark, d):
     table = T.lag_table(events_panel(spark, d), 7, 2, 0.5, 0.05, 3)
     return table.select("station", "win", F.round("r", 5).alias("r"), "lag")
 
 
-@_query(
-    "t9_flags",
-    _verdict_sql(
-        _LAGS
-        + """,
-seen AS (SELECT station, win, round(pos, 2) AS lag, round_even(round(pos, 2), 0) AS whole FROM best WHERE r >= 0.05),
-und AS (SELECT win FROM seen GROUP BY win HAVING count(*) FILTER (WHERE abs(whole) >= 1) > 0 AND count(*) FILTER (WHERE abs(whole) >= 1) >= 0.5 * count(*)),
-dec AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY win) AS place, CASE WHEN abs(whole) >= 1 THEN sign(lag) END AS sg FROM seen WHERE win NOT IN (SELECT win FROM und)),
-off AS (SELECT *, place - row_number() OVER (PARTITION BY station, sg ORDER BY win) AS run FROM dec WHERE sg IS NOT NULL),
-bad AS (SELECT station, win FROM off QUALIFY count(*) OVER (PARTITION BY station, sg, run) >= 1),
-marked AS (
-  SELECT c.station, c.row_idx, c.value, c.value IS NOT NULL AND d.station IS NOT NULL AS judged, c.value IS NOT NULL AND b.station IS NOT NULL AS hit
-  FROM net c LEFT JOIN dec d ON d.station = c.station AND d.win = c.win LEFT JOIN bad b ON b.station = c.station AND b.win = c.win)""",
-        9,
-    ),
-)
+@_query("t9_flags", _verdict_sql(f"{EVENTS}, {_lags_sql(0.05, 1)}", 9))
 def t9_flags(spark, d):
     return _level(T.t9_clock_offset(events_panel(spark, d), 7, 2, 1, 1, 0.5, 0.05, 3))
 
@@ -411,26 +451,29 @@ def t10_fill(spark, d):
 
 @_query(
     "rh8_fill",
-    f"WITH {ODD}, {_FILL.format(cells='cells')} SELECT station, CAST(row_idx AS INT) AS row_idx, CASE WHEN new IS NOT NULL THEN 50 WHEN value IS NULL THEN -1 ELSE 0 END AS flag, round(coalesce(value, new), 7) AS value FROM filled",
+    f"WITH {HUMID}, {_FILL.format(cells='cells')} SELECT station, CAST(row_idx AS INT) AS row_idx, CASE WHEN new IS NOT NULL THEN 50 WHEN value IS NULL THEN -1 ELSE 0 END AS flag, round(coalesce(value, new), 7) AS value FROM filled",
 )
 def rh8_fill(spark, d):
-    cells = H.rh8_interpolate(events_panel(spark, d, 1, "humidity")).cells
+    cells = H.rh8_interpolate(events_panel(spark, d, "humidity")).cells
     return cells.select("station", "row_idx", F.coalesce("flag", F.lit(-1)).alias("flag"), F.round("value", 7).alias("value"))
 
 
 def _pair(spark, d):
-    return events_panel(spark, d, 1, "humidity"), events_panel(spark, d, 0, "temperature")
+    return events_panel(spark, d, "humidity"), events_panel(spark, d)
 
 
-@_query("rh2_range", _verdict_sql(ODD + ", marked AS (SELECT *, value IS NOT NULL AS judged, value < 2 OR value > 105 AS hit FROM cells)", 2))
+_RH2 = "marked AS (SELECT *, value IS NOT NULL AS judged, value < 20 OR value > 105 AS hit FROM cells)"
+
+
+@_query("rh2_range", _verdict_sql(f"{HUMID}, {_RH2}", 2))
 def rh2_range(spark, d):
-    return _level(H.rh2_range(events_panel(spark, d, 1, "humidity"), 2, 105))
+    return _level(H.rh2_range(events_panel(spark, d, "humidity"), 20, 105))
 
 
 @_query(
     "rh1_inherit",
     _verdict_sql(
-        f"{EVEN}, {ODD}, marked AS (SELECT c.*, c.value IS NOT NULL AND t.value IS NOT NULL AS judged, c.value IS NOT NULL AND (t.value > 100 OR t.value <= 5) AS hit FROM cells c LEFT JOIN t_cells t ON t.station = c.station AND t.ts = c.ts)", 1
+        f"{TWIN}, {HUMID}, marked AS (SELECT c.*, c.value IS NOT NULL AND t.value IS NOT NULL AS judged, c.value IS NOT NULL AND (t.value > 100 OR t.value <= 5) AS hit FROM cells c LEFT JOIN t_cells t ON t.station = c.station AND t.ts = c.ts)", 1
     ),
 )
 def rh1_inherit(spark, d):
@@ -438,59 +481,50 @@ def rh1_inherit(spark, d):
     return _level(H.rh1_inherit_temperature(humid, T.t1_gross_error(temp, 100, 5)))
 
 
-_COUPLE = f"""{EVEN}, {ODD},
+def _couple_sql(r_limit: float, t_range: float, min_n: int, share: float) -> str:
+    return f"""
 joint AS (SELECT c.*, t.value AS t FROM cells c LEFT JOIN t_cells t ON t.station = c.station AND t.ts = c.ts),
 dd AS (
   SELECT station, day_idx, max(t) - min(t) AS tr, CASE WHEN max(t) > min(t) AND max(value) > min(value) THEN corr(value, t) END AS r
-  FROM joint WHERE value IS NOT NULL AND t IS NOT NULL GROUP BY ALL HAVING count(*) >= 6 AND max(t) - min(t) >= 3),
-verd AS (SELECT *, r IS NULL OR r >= 0.1 AS bad FROM dd),
-wet AS (SELECT day_idx FROM verd GROUP BY day_idx HAVING count(*) FILTER (WHERE bad) >= 2 AND count(*) FILTER (WHERE bad)::DOUBLE / count(*) > 0.5),
-ok AS (SELECT * FROM verd WHERE day_idx NOT IN (SELECT day_idx FROM wet))"""
+  FROM joint WHERE value IS NOT NULL AND t IS NOT NULL GROUP BY ALL HAVING count(*) >= {min_n} AND max(t) - min(t) >= {t_range}),
+verd AS (SELECT *, r IS NULL OR r >= {r_limit} AS bad FROM dd),
+wet AS (SELECT day_idx FROM verd GROUP BY day_idx HAVING count(*) FILTER (WHERE bad) >= 2 AND count(*) FILTER (WHERE bad)::DOUBLE / count(*) > {share}),
+ok AS (SELECT * FROM verd WHERE day_idx NOT IN (SELECT day_idx FROM wet)),
+runs AS (SELECT *, day_idx - row_number() OVER (PARTITION BY station ORDER BY day_idx) AS run FROM ok WHERE bad),
+badd AS (SELECT station, day_idx FROM runs QUALIFY count(*) OVER (PARTITION BY station, run) >= 2),
+marked AS (
+  SELECT c.station, c.row_idx, c.value, c.value IS NOT NULL AND o.station IS NOT NULL AS judged, c.value IS NOT NULL AND b.station IS NOT NULL AS hit
+  FROM cells c LEFT JOIN ok o ON o.station = c.station AND o.day_idx = c.day_idx LEFT JOIN badd b ON b.station = c.station AND b.day_idx = c.day_idx)"""
 
 
-@_query("rh5_daily", f"WITH {_COUPLE} SELECT station, CAST(day_idx AS INT) AS day_idx, round(r, 5) AS r, bad FROM ok")
+@_query("rh5_daily", f"WITH {TWIN}, {HUMID}, {_couple_sql(0.1, 3, 6, 0.5)} SELECT station, CAST(day_idx AS INT) AS day_idx, round(r, 5) AS r, bad FROM ok")
 def rh5_daily(spark, d):
     humid, temp = _pair(spark, d)
     days = H.coupling(H.matched(humid, temp.cells, {"t": "value"}), 0.1, 3, 6, 0.5)
     return days.select("station", "day_idx", F.round("r", 5).alias("r"), "bad")
 
 
-@_query(
-    "rh5_flags",
-    _verdict_sql(
-        _COUPLE
-        + """,
-runs AS (SELECT *, day_idx - row_number() OVER (PARTITION BY station ORDER BY day_idx) AS run FROM ok WHERE bad),
-badd AS (SELECT station, day_idx FROM runs QUALIFY count(*) OVER (PARTITION BY station, run) >= 2),
-marked AS (
-  SELECT c.station, c.row_idx, c.value, c.value IS NOT NULL AND o.station IS NOT NULL AS judged, c.value IS NOT NULL AND b.station IS NOT NULL AS hit
-  FROM cells c LEFT JOIN ok o ON o.station = c.station AND o.day_idx = c.day_idx LEFT JOIN badd b ON b.station = c.station AND b.day_idx = c.day_idx)""",
-        5,
-    ),
-)
+@_query("rh5_flags", _verdict_sql(f"{TWIN}, {HUMID}, {_couple_sql(0.1, 3, 6, 0.5)}", 5))
 def rh5_flags(spark, d):
     humid, temp = _pair(spark, d)
     return _level(H.rh5_decoupling(humid, temp, 0.1, 3, 6, 2, 0.5))
 
 
-@_query(
-    "rh6_flags",
-    _verdict_sql(
-        f"""{ODD},
+_RH6 = """
 wet AS (SELECT row_idx FROM cells GROUP BY row_idx HAVING count(value) >= 3 AND quantile_cont(value, 0.5) >= 60),
-seg AS (SELECT c.*, floor((epoch(ts) - min(epoch(ts)) OVER ()) / (86400 * 5)) AS seg, c.row_idx IN (SELECT row_idx FROM wet) AND value IS NOT NULL AS w FROM cells c),
-seen AS (SELECT station, seg, max(value) AS top FROM seg WHERE w GROUP BY ALL HAVING count(*) >= 4),
-marked AS (SELECT s.station, s.row_idx, s.value, s.w AND top IS NOT NULL AS judged, s.w AND top < 110 AS hit FROM seg s LEFT JOIN seen USING (station, seg))""",
-        6,
-    ),
-)
+seg AS (SELECT c.*, floor((epoch(ts) - min(epoch(ts)) OVER ()) / 86400) AS seg, c.row_idx IN (SELECT row_idx FROM wet) AND value IS NOT NULL AS w FROM cells c),
+tops AS (SELECT station, seg, max(value) AS top FROM seg WHERE w GROUP BY ALL HAVING count(*) >= 2),
+marked AS (SELECT s.station, s.row_idx, s.value, s.w AND top IS NOT NULL AS judged, s.w AND top < 59 AS hit FROM seg s LEFT JOIN tops USING (station, seg))"""
+
+
+@_query("rh6_flags", _verdict_sql(f"{HUMID}, {_RH6}", 6))
 def rh6_flags(spark, d):
-    return _level(H.rh6_saturation_drift(events_panel(spark, d, 1, "humidity"), 60, 110, 4, 3, 5))
+    return _level(H.rh6_saturation_drift(events_panel(spark, d, "humidity"), 60, 59, 2, 3, 1))
 
 
 @_query(
     "rh7_dewpoint",
-    f"""WITH {EVEN}, {ODD}, g AS (
+    f"""WITH {TWIN}, {HUMID}, g AS (
   SELECT c.station, c.row_idx, t.value AS t, ln(greatest(0.1, least(100.0, c.value)) / 100) + 17.625 * t.value / (243.04 + t.value) AS g
   FROM cells c JOIN t_cells t ON t.station = c.station AND t.ts = c.ts WHERE c.value IS NOT NULL AND t.value IS NOT NULL)
 SELECT station, CAST(row_idx AS INT) AS row_idx, round(243.04 * g / (17.625 - g), 5) AS dewpoint FROM g""",
@@ -503,7 +537,19 @@ def rh7_dewpoint(spark, d):
     return rows.where("dewpoint IS NOT NULL").select("station", "row_idx", "dewpoint")
 
 
-@_query("rh7_flags")
+# the consensus over dewpoints: cells become theirs, and come back for the verdict
+_RH7 = f"""
+own AS MATERIALIZED (SELECT * FROM cells),
+dew AS MATERIALIZED (
+  WITH g AS (
+    SELECT c.*, t.value AS t, CASE WHEN t.value IS NOT NULL AND c.value IS NOT NULL THEN ln(greatest(0.1, least(100.0, c.value)) / 100) + 17.625 * t.value / (243.04 + t.value) END AS g
+    FROM cells c LEFT JOIN t_cells t ON t.station = c.station AND t.ts = c.ts)
+  SELECT station, ts, row_idx, day, day_idx, 243.04 * g / (17.625 - g) AS value FROM g),
+verdict AS (WITH RECURSIVE cells AS (SELECT * FROM dew), {_edges_sql(3000, 5, False, 100)}, {_consensus_sql(3, 10)} SELECT station, row_idx, judged, hit FROM marked),
+marked AS (SELECT o.*, v.judged, v.hit FROM own o JOIN verdict v USING (station, row_idx))"""
+
+
+@_query("rh7_flags", _verdict_sql(f"{TWIN}, {HUMID}, {_RH7}", 7))
 def rh7_flags(spark, d):
     humid, temp = _pair(spark, d)
     return _level(H.rh7_dewpoint_consistency(humid, temp, metadata(spark), 3, 10, landuse_mode="none"))
@@ -580,21 +626,63 @@ def report_codes(spark, d):
     return R.code_table(_chain(spark, d))
 
 
-@_query("temperature_chain")
+def _levels_sql(panels: str, levels) -> str:
+    """SQL for the summary of a chain: ``levels`` are (key, code, body), each on the cells that the one before left."""
+    parts = [panels, "l0 AS MATERIALIZED (SELECT station, ts, row_idx, day, day_idx, value, CASE WHEN value IS NOT NULL THEN 0 END AS flag FROM cells)"]
+    counts = []
+    for i, (key, code, body) in enumerate(levels, 1):
+        parts.append(f"""m{i} AS MATERIALIZED (WITH RECURSIVE cells AS MATERIALIZED (SELECT station, ts, row_idx, day, day_idx, value FROM l{i - 1}), {body}
+  SELECT station, row_idx, coalesce(hit, false) AS hit, coalesce(judged, false) AS judged FROM marked)""")
+        parts.append(f"""x{i} AS MATERIALIZED (SELECT p.*, m.hit AND coalesce(p.flag, 0) = 0 AS hit, m.judged FROM l{i - 1} p JOIN m{i} m USING (station, row_idx)),
+l{i} AS MATERIALIZED (SELECT station, ts, row_idx, day, day_idx, CASE WHEN NOT hit THEN value END AS value, CASE WHEN hit THEN {code} ELSE flag END AS flag FROM x{i})""")
+        counts.append(f"SELECT '{key}' AS level, station, count(*) FILTER (WHERE hit) AS flagged, count(*) FILTER (WHERE judged) AS judged FROM x{i} GROUP BY station")
+    last = f"l{len(levels)}"
+    joined = " UNION ALL ".join(counts)
+    # a gap that is filled in the end has the flag 50, and had none before
+    return f"""WITH RECURSIVE {', '.join(parts)},
+obs AS (SELECT station, count(flag) AS n FROM {last} GROUP BY station),
+levels AS ({joined})
+SELECT level, station, flagged, judged, round(100 * judged / greatest(n, 1), 1) AS judged_pct FROM levels JOIN obs USING (station)"""
+
+
+_TEMPERATURE_LEVELS = [
+    ("t1_gross_error", 1, _T1), ("t2_out_of_range", 2, _T2), ("t3_time_consistency", 3, _spikes_sql(60)), ("t4_stuck_values", 4, _stuck_sql(5, 3, 5)),
+    ("t5_climatic_outliers", 5, _climate_sql(2.5, 12)), ("t8_diurnal_range", 8, _daily_sql(0.8, 2, 5)), ("t6_spatial_consistency", 6, _T6),
+    ("t7_spatiotemporal_consistency", 7, _extremes_sql(0.95)), ("t9_clock_offset", 9, _lags_sql(0.1, 2)),
+]
+
+
+@_query("temperature_chain", _levels_sql(EVENTS, _TEMPERATURE_LEVELS))
 def temperature_chain(spark, d):
     params = {
         "T1": {"threshold_max": 200, "threshold_min": 2}, "T2": {"season_thresholds": _SEASONS}, "T3": {"threshold": 60}, "T4": {"window_size": "4 hours", "sd_tol": 3},
-        "T6": {"k_sigma": 3, "abs_floor": 20, "landuse_mode": "none"}, "T7": {"k_neighbours": 2, "threshold": 0.95}, "T8": {"min_network_swing": 5}, "T9": {"min_cor": 0.1},
+        "T6": {"k_sigma": 3, "abs_floor": 20, "landuse_mode": "none"}, "T7": {"k_neighbours": 2, "threshold": 0.95},
+        "T8": {"range_frac": 0.8, "min_consecutive_days": 2, "min_network_swing": 5}, "T9": {"min_cor": 0.1},
     }
     return R.summary(runner.run_temperature(events_panel(spark, d), metadata(spark), True, None, params))
 
 
-@_query("humidity_chain")
+_HUMIDITY_LEVELS = [
+    ("rh1_inherit_temperature", 1, "marked AS (SELECT c.*, c.value IS NOT NULL AND t.value IS NOT NULL AS judged, c.value IS NOT NULL AND (t.value > 150 OR t.value <= 1) AS hit FROM cells c LEFT JOIN t_raw_cells t ON t.station = c.station AND t.ts = c.ts)"),
+    ("rh2_range", 2, "marked AS (SELECT *, value IS NOT NULL AS judged, value < 0 OR value > 105 AS hit FROM cells)"), ("rh3_spike", 3, _spikes_sql(30)),
+    ("rh4_stuck_values", 4, _stuck_sql(5, 5, 3, "least(95, quantile_cont(value, 0.9))")), ("rh5_decoupling", 5, _couple_sql(-0.3, 3, 10, 0.25)),
+    ("rh6_saturation_drift", 6, _RH6), ("rh7_dewpoint_consistency", 7, _RH7),
+]
+
+
+@_query(
+    "humidity_chain",
+    # the first level reads the flags of the temperature, the others the values that it left
+    _levels_sql(f"{_cells_sql(*_EVENT, 'value', p='t_raw_')}, {HUMID}, t_cells AS (SELECT station, ts, row_idx, day, day_idx, CASE WHEN NOT (value > 150 OR value <= 1) THEN value END AS value FROM t_raw_cells)", _HUMIDITY_LEVELS),
+)
 def humidity_chain(spark, d):
     humid, temp = _pair(spark, d)
     temp = runner.run_temperature(temp, None, False, ["T1"], {"T1": {"threshold_max": 150, "threshold_min": 1}})
-    params = {"RH3": {"threshold": 80}, "RH4": {"window_size": "4 hours", "sd_tol": 5}, "RH6": {"network_min": 60, "min_hits": 4}, "RH7": {"landuse_mode": "none", "abs_floor": 10}}
-    return R.summary(runner.run_humidity(humid, temp, metadata(spark), True, None, params))
+    params = {
+        "RH3": {"threshold": 30}, "RH4": {"window_size": "4 hours", "sd_tol": 5}, "RH6": {"network_min": 60, "station_max": 59, "min_hits": 2, "window_days": 1},
+        "RH7": {"k_sigma": 3, "landuse_mode": "none", "abs_floor": 10},
+    }
+    return R.summary(runner.run_humidity(humid, temp, metadata(spark), True, None, params), "rh")
 
 
 def queries() -> dict:
@@ -603,4 +691,3 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
-

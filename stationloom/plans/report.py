@@ -95,13 +95,40 @@ def code_table(result: QCResult) -> DataFrame:
     return coded.groupBy("station", "level").agg(F.count("*").alias("n"))
 
 
+def level_labels(result: QCResult) -> dict[int, str]:
+    """The keys of the levels that ran on the result's own variable, by their code."""
+    own = "rh" if "dataset_humidity" in result.info else "t"
+    numbers = {key: key[len(own) :].partition("_")[0] for key in result.info if key.startswith(own)}
+    return {int(n): key for key, n in sorted(numbers.items(), key=lambda x: x[1].zfill(3)) if n.isdigit()}
+
+
+def wide(result: QCResult, column: str = "value") -> DataFrame:
+    """The values, or the flags, as a wide table: a row for each time and a column for each station."""
+    if column not in ("value", "flag"):
+        raise ValueError("the column is value or flag")
+    stations = list(result.facts.stations)
+    table = result.cells.groupBy("ts").pivot("station", stations).agg(F.first(column))
+    return table.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"), *[F.col(f"`{s}`") for s in stations])
+
+
+def record_lines(result: QCResult) -> list[str]:
+    """The records as text, level by level in the order they ran; tables are named, not spelled out."""
+    out = []
+    for key, record in result.info.items():
+        out.append(key)
+        out += [f"  {name}: {'table (' + ', '.join(v.columns) + ')' if isinstance(v, DataFrame) else v}" for name, v in record.items()]
+    return out
+
+
 def write_result(result: QCResult, path: str) -> None:
-    """Cells as Parquet, the summary as CSV, and the records as JSON."""
+    """Cells as Parquet; values and flags in wide form and the summary as CSV; the records as JSON and as text."""
     result.cells.write.parquet(f"{path}/cells")
+    for name, column in (("values", "value"), ("flags", "flag")):
+        wide(result, column).sort("time").write.csv(f"{path}/{name}", header=True)
     summary(result).coalesce(1).write.csv(f"{path}/summary", header=True)
     plain = [(i, key, {k: str(v) for k, v in r.items() if not isinstance(v, DataFrame)}) for i, (key, r) in enumerate(result.info.items())]
+    spark = result.cells.sparkSession
     if plain:
-        spark = result.cells.sparkSession
         spark.createDataFrame(plain, "place int, key string, entries map<string,string>").coalesce(1).write.json(f"{path}/info")
-
-
+        lines = spark.createDataFrame(list(enumerate(record_lines(result))), "place int, value string").coalesce(1).sortWithinPartitions("place")
+        lines.select("value").write.text(f"{path}/info_text")

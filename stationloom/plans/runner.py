@@ -45,7 +45,8 @@ def _run(result: QCResult, chain: dict, levels, given: dict[int, dict], params:
     params = {pick_levels(k, last, prefix)[0]: v for k, v in params.items()}
     if unknown := set(params) - set(chain):
         raise ValueError(f"parameters for unknown levels: {unknown}")
-    ran, skipped = [], []
+    ran, skipped, storing = [], [], result.storing
+    result = result.stored(store)  # nine levels of windows are too much for one plan
     for number, level in chain.items():
         if number not in chosen or number == last and not interpolate:
             continue
@@ -53,9 +54,7 @@ def _run(result: QCResult, chain: dict, levels, given: dict[int, dict], params:
         result = level(result, **{**given.get(number, {}), **params.get(number, {})})
         entry = list(result.info.values())[-1]
         (skipped if entry.get("skipped") else ran).append(f"{prefix}{number}")
-        if store and not entry.get("skipped"):
-            result = result.cut()  # nine levels of windows are too much for one plan
-    return result.record(f"run_qc_{result.facts.what}", levels=ran, skipped=skipped)
+    return result.stored(storing).record(f"run_qc_{result.facts.what}", levels=ran, skipped=skipped)
 
 
 def run_temperature(result: QCResult, metadata: DataFrame | None = None, interpolate: bool = False, levels=None, params: dict | None = None, store: bool = True) -> QCResult:

@@ -76,8 +76,7 @@ def from_wide(table: DataFrame, time_col: str | int, time_format: str = "%Y-%m-%
     twice = wide.groupBy("ts").count().where("count > 1").first()
     if twice is not None:
         raise ValueError(f"time occurs more than once: {twice[0]}")
-    order = wide.select("ts", F.monotonically_increasing_id().alias("at"))
-    resorted = not order.select("ts", F.lag("ts").over(Window.orderBy("at")).alias("before")).where("before > ts").isEmpty()
+    resorted = not _in_order(wide.select("ts"))
     shares = wide.agg(F.count("*").alias("n"), *[F.count(f"`{n}`").alias(n) for n in loggers]).first()
     long = wide.drop("__text").unpivot(["ts"], loggers, "station", "value")
     panel = from_long(long, what=what, stations=loggers)
@@ -90,6 +89,15 @@ def from_wide(table: DataFrame, time_col: str | int, time_format: str = "%Y-%m-%
     )
 
 
+def _in_order(times: DataFrame) -> bool:
+    """Whether ``ts`` ascends in the order of the rows: within each partition, and from one to the next."""
+    at = times.select("ts", F.monotonically_increasing_id().alias("at")).withColumn("part", F.shiftright("at", 33))
+    falls = F.lag("ts").over(Window.partitionBy("part").orderBy("at")) > F.col("ts")
+    parts = at.withColumn("falls", F.coalesce(falls, F.lit(False))).groupBy("part").agg(F.max("falls").alias("falls"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    border = F.lag("last").over(Window.orderBy("part")) > F.col("first")  # a row for each partition
+    return parts.withColumn("border", F.coalesce(border, F.lit(False))).where("falls OR border").isEmpty()
+
+
 def from_long(table: DataFrame, station="station", ts="ts", value="value", what: str = "temperature", stations: list[str] | None = None, store: bool = False) -> QCResult:
     """A dense panel from rows (station, ts, value).
 
@@ -102,47 +110,78 @@ def from_long(table: DataFrame, station="station", ts="ts", value="value", what:
     rows = rows.where("station IS NOT NULL AND ts IS NOT NULL")
     if store:
         rows = stored(rows, "rows")
+    spark = table.sparkSession
+    known = rows.groupBy("station", "ts").count().groupBy("station").agg(F.max_by(F.struct("ts", "count"), "count").alias("most")).collect()  # a row for each station
+    for r in known:
+        if r["most"]["count"] > 1:
+            raise ValueError(f"{r['station']} has {r['most']['ts']} more than once")
     if stations is None:
-        stations = sorted(r[0] for r in rows.select("station").distinct().collect())
+        stations = sorted(r["station"] for r in known)
     if len(set(stations)) < len(stations):
         raise ValueError("a station occurs twice")
-    spark = table.sparkSession
     known = spark.createDataFrame([(s, i + 1) for i, s in enumerate(stations)], "station string, station_pos int")
-    twice = rows.groupBy("station", "ts").count().where("count > 1").first()
-    if twice is not None:
-        raise ValueError(f"{twice['station']} has {twice['ts']} more than once")
     line = timeline(rows)
     # times x stations is the panel itself; the stations are a short list
-    cells = line.join(F.broadcast(known)).join(rows, ["station", "ts"], "left")
+    cells = line.drop("before").join(F.broadcast(known)).join(rows, ["station", "ts"], "left")
     # an infinite value is there but has no flag yet
     flag = F.when(F.abs("value") < float("inf"), F.lit(0))
     cells = cells.withColumn("flag", flag).select(*CELLS)
-    return QCResult(cells, facts(cells, line, stations, what)).record(f"dataset_{what}", stations=list(stations))
+    known_facts, span = facts(cells, line, stations, what)
+    entries = {"variable": what, "n_time": known_facts.n_time, "n_stations": len(stations), "stations": list(stations), **span}
+    return QCResult(cells, known_facts).record(f"dataset_{what}", **entries, time_step_sec=known_facts.step, irregular_time_steps=not known_facts.regular)
 
 
 def timeline(rows: DataFrame) -> DataFrame:
-    """ts, row_idx, day, day_idx of each time; one row for each time of the index."""
-    times = rows.select("ts").distinct()
-    by_time = Window.orderBy("ts")
-    return times.withColumn("day", F.to_date("ts")).select("ts", F.row_number().over(by_time).alias("row_idx"), "day", F.dense_rank().over(Window.orderBy("day")).alias("day_idx"))
+    """ts, row_idx, day, day_idx, and the time before, of each time of the index.
+
+    Times are numbered within their days, and days by a table with a row for
+    each day, so that no task sees all times.
+    """
+    times = rows.select("ts").distinct().withColumn("day", F.to_date("ts"))
+    by_day = Window.orderBy("day")  # a row for each day
+    days = times.groupBy("day").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    days = days.select("day", F.row_number().over(by_day).alias("day_idx"), (F.sum("n").over(by_day) - F.col("n")).alias("earlier"), F.lag("last").over(by_day).alias("eve"))
+    in_day = Window.partitionBy("day").orderBy("ts")
+    line = times.join(days, "day")
+    return line.select(
+        "ts", (F.col("earlier") + F.row_number().over(in_day)).cast("int").alias("row_idx"), "day", "day_idx", F.coalesce(F.lag("ts").over(in_day), "eve").alias("before")
+    )
 
 
 def step_counts(line: DataFrame) -> DataFrame:
     """How often each spacing, in seconds, occurs between consecutive times."""
-    gap = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(Window.orderBy("ts")))) / 1e6
+    gap = (F.unix_micros("ts") - F.unix_micros("before")) / 1e6
     return line.select(gap.alias("step")).where("step IS NOT NULL").groupBy("step").agg(F.count("*").alias("n"))
 
 
-def resolution_of(cells: DataFrame):
-    """Least gap between distinct values rounded to six places, as a one-row table."""
-    distinct = cells.select(F.round("value", 6).alias("v")).where("v IS NOT NULL").distinct()
-    # values far apart cannot be neighbours: compare within and at the border of ranges
-    return distinct.select((F.col("v") - F.lag("v").over(Window.orderBy("v"))).alias("gap")).agg(F.round(F.min("gap"), 6).alias("resolution"))
+#: Ranges in which distinct values are compared with each other.
+RANGES = 1024
 
 
-def facts(cells: DataFrame, line: DataFrame, stations: list[str], what: str) -> PanelFacts:
-    steps = step_counts(line).orderBy(F.desc("n"), "step").limit(2).collect()
-    n_time, n_days = line.agg(F.count("*"), F.coalesce(F.max("day_idx"), F.lit(0))).first()
-    if len(steps) > 1:
+def resolution_of(cells: DataFrame):
+    """Least gap between distinct values rounded to six places, as a one-row table.
+
+    Values are compared within equal ranges, and the ends of a range with those
+    of the next one that has values.
+    """
+    distinct = cells.select(F.round("value", 6).alias("v")).where("v IS NOT NULL AND abs(v) < double('infinity')").distinct()
+    ends = distinct.agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    span = F.col("high") - F.col("low")
+    ranged = distinct.join(F.broadcast(ends)).select("v", F.when(span > 0, F.floor((F.col("v") - F.col("low")) / span * (RANGES - 1))).otherwise(0).alias("range"))
+    inside = ranged.select((F.col("v") - F.lag("v").over(Window.partitionBy("range").orderBy("v"))).alias("gap"))
+    borders = ranged.groupBy("range").agg(F.min("v").alias("first"), F.max("v").alias("last"))
+    between = borders.select((F.col("first") - F.lag("last").over(Window.orderBy("range"))).alias("gap"))
+    return inside.union(between).agg(F.round(F.min("gap"), 6).alias("resolution"))
+
+
+def facts(cells: DataFrame, line: DataFrame, stations: list[str], what: str) -> tuple[PanelFacts, dict]:
+    """The facts of a panel, and its first and last time."""
+    gap = ((F.unix_micros("ts") - F.unix_micros("before")) / 1e6).alias("step")
+    grouped = line.groupBy(gap).agg(F.count("*").alias("n"), F.max("day_idx").alias("days"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    most = F.max_by("step", F.when(F.col("step").isNotNull(), F.struct("n", -F.col("step"))))
+    r = grouped.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("days"), F.lit(0)), F.count("step"), most, F.min("first"), F.max("last")).first()
+    n_time, n_days, n_steps, step, first, last = r
+    if n_steps > 1:
         warnings.warn(f"{what}: the spacing of the times is not regular", stacklevel=3)
-    return PanelFacts(what, n_time, len(stations), steps[0]["step"] if steps else None, len(steps) < 2, None, tuple(stations), n_days)
+    known = PanelFacts(what, n_time, len(stations), step, n_steps < 2, tuple(stations), n_days, resolution_of(cells))
+    return known, {"time_start": first, "time_end": last}

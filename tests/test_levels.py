@@ -130,7 +130,8 @@ def test_removal_loop_against_a_plain_version():
     w = np.exp(-rng.random((6, 6)))
     np.fill_diagonal(w, 0)
     want = plain_removal(values, w, 2, 3, 2)
-    assert want.sum() > 10 and (K.remove_outliers(values, w, 2, 3, 2) == want).all()
+    pairs = [(i + 1, j + 1, w[i, j]) for i in range(6) for j in range(6) if w[i, j] > 0]
+    assert want.sum() > 10 and (K.remove_outliers(values, *K.neighbour_arrays(pairs, 6), 2, 3, 2) == want).all()
 
 
 def test_neighbours_find_the_odd_one(spark):
