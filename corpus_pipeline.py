@@ -3,7 +3,8 @@
 Each stage works on all that the stage before it kept:
 
 1. quality: documents that the quality rules reject go;
-2. near_copies: of each group of near copies, the smallest doc_id stays;
+2. near_copies: of each group of near copies (0.8 or more of their five-word
+   shingles in common, or linked by such), the smallest doc_id stays;
 3. benchmark: documents that hold a benchmark item go;
 4. secrets: secrets are replaced in the text, and n_chars follows;
 5. pieces: each text becomes sampled piece ids.
@@ -18,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stationloom.llm import decontamination, piece_sampling, quality_rules, secret_scan, simhash
-from stationloom.llm._shared import stored
+from stationloom.llm._shared import remove, stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    source = docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        last, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last is not source:
+            remove(spark, last)
     return STAGES[-1][1](spark, docs, sf_dir)
