@@ -2,39 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.result import shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``.
-
-    Where it is unset, as in tests, the context's own checkpoint folder, or a
-    new temporary one.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        set_in = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = set_in.get() if set_in.isDefined() else tempfile.mkdtemp(prefix="shared-")
-        if not set_in.isDefined():
-            spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+__all__ = ["components", "new_path", "remove", "shared_dir", "stored"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends there."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def remove(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete tables made by ``stored`` that nothing reads any more."""
     for frame in frames:

@@ -89,6 +89,25 @@ def test_trees_learn_and_keep_their_direction():
     assert (np.diff(trees.score(line).reshape(40, 50), axis=0) <= 1e-12).all()
 
 
+def test_fit_on_a_bounded_sample(spark):
+    rng = random.Random(17)
+    rows = [(i % 900, " ".join(rng.choice(["word", "#", "line"]) + str(rng.randrange(60 if i % 2 else 4)) for _ in range(70))) for i in range(1800)]
+    docs = spark.createDataFrame(rows + [rows[5]] * 300, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(900)] + [(7, 1)] * 50, "doc_id long, quality int")
+    seen = []
+    import stationloom.llm.quality_rules as Q2
+
+    original = Q2.fit_trees
+    try:
+        Q2.fit_trees = lambda x, y, signs: seen.append((len(y), y.mean())) or original(x, y, signs)
+        models = [Q.fit_quality(docs.repartition(n), labels.repartition(n), rows=200) for n in (1, 5)]
+        Q.fit_quality(docs, labels)
+    finally:
+        Q2.fit_trees = original
+    assert seen[0] == seen[1] and 150 <= seen[0][0] <= 200 and seen[2][0] == 900
+    assert all(np.array_equal(getattr(models[0], f), getattr(models[1], f)) for f in ("feature", "threshold", "value"))
+
+
 def test_fit_wants_both_classes(spark):
     docs = edge_docs(spark)
     labels = spark.createDataFrame([(1, 1), (2, 1), (None, 0), (3, None)], "doc_id long, quality int")
@@ -129,6 +148,52 @@ def test_novel_secrets():
     assert S.find_secrets(f"the value is {key} here") == [] and S.find_secrets("auth: example-1-example-example") == []
 
 
+def plain_novel(text):
+    """Every candidate by hand: where it starts, where it ends, and whether it is judged new."""
+    near = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-")
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    ends = {i + len(w) for w in S.SENSITIVE.split("|") for i in range(len(text)) if lower.startswith(w, i)}
+    base, out = plain_secrets(text), []
+    for i in range(len(text)):
+        if text[i] not in near or i and text[i - 1] in near:
+            continue
+        end = i
+        while end < len(text) and text[end] in near:
+            end += 1
+        if end - i < 16 or not any(e <= i <= e + S.REACH and "\n" not in text[e:i] for e in ends):
+            continue
+        pads = 0
+        while end + pads < len(text) and text[end + pads] == "=":
+            pads += 1
+        if 1 <= pads <= 2 and (end + pads == len(text) or text[end + pads] not in near):
+            end += pads
+        run = text[i:end]
+        mixed = any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+        if mixed and not any(a < end and i < b for a, _, b in base):
+            around = text[max(0, i - S.AROUND) : i] + text[end : end + S.AROUND]
+            if S.marginal_bytes(run, around) >= S.NOVEL_SHARE * len(run):
+                out.append((i, 3, end))
+    return out
+
+
+def test_every_novel_candidate():
+    rng = random.Random(20)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    new = lambda: "".join(rng.choices(letters, k=rng.randint(14, 40)))
+    pieces = ["auth", "Key", "private_key=", "credential", " ", " ", " ", "\n", "is", ": ", "=", "==", "&", '"', "configuration-identifier", "configurationvalues", "x" * 20, "0123456789abcdef", "token=", "é", "ſ"]
+    found = 0
+    for _ in range(1500):
+        text = "".join(new() if rng.random() < 0.25 else rng.choice(pieces) for _ in range(rng.randint(2, 14)))
+        got = [s for s in S.find_secrets(text) if s[1] == 3]
+        assert got == plain_novel(text), text
+        assert [s for s in S.find_secrets(text) if s[1] < 3] == plain_secrets(text)
+        assert S._scan(pa.array([text], pa.large_string())) == [S.find_secrets(text)]
+        found += len(got)
+    assert found > 300
+    key, other = "Zk39xQpL7vTn2RwY8sJd", "Qm48wLpR6xUn3SvZ9tKe"
+    assert len(S.find_secrets(f"auth value is {key} and {other}")) == 2 and len(S.find_secrets(f"auth configurationvalues {key}")) == 1
+
+
 def test_novel_secrets_behind_equals_and_other_runs():
     key = "Zk39xQpL7vTn2RwY8sJd"
     names = ["AWS_SECRET_ACCESS_KEY", "access_key", "auth", "private_key", "export signature", "?a=b&auth"]
@@ -159,8 +224,34 @@ def test_licenses(spark):
         4: ("GPL-3.0", "own", None), 5: ("MIT", "inherited", ""), 6: ("MIT", "inherited", ""), 7: ("Apache-2.0", "inherited", "a"),
     }
     assert L.scan_licenses(table.limit(0), "doc_id", F.col("path"), F.col("text"), named).count() == 0
-    plan = L.op5_license_scan.__code__.co_names
-    assert "mapInArrow" not in plan
+
+
+def test_texts_of_licences(spark):
+    from pyspark.sql import functions as F
+
+    text = {}
+    for name, t in L.TEXTS:
+        text.setdefault(name, t)
+    lines = lambda t, mark="": "\n".join(mark + t[i : i + 70] for i in range(0, len(t), 70)) if mark else t
+    prose = "the river ran slowly past the old mill and the people of the town walked along it in the evening " * 15
+    files = {
+        "mit/LICENCE": "Copyright (c) 2020 Someone\n\n" + text["MIT"], "mit/a/x": "code", "bsd3/y": text["BSD-3-Clause"], "bsd2/y": text["BSD-2-Clause"], "isc/z": "ISC\n" + text["ISC"],
+        "p/gpl3": "#!/bin/sh\n# Copyright 2020\n# " + text["GPL-3.0"].replace(". ", ".\n# ") + "\n" + prose, "p/gpl2": text["GPL-2.0"] + "\n" + prose, "p/lgpl": prose + text["LGPL-2.1"],
+        "p/apache": "/* " + text["Apache-2.0"] + " */\n" + prose, "p/mpl": text["MPL-2.0"] + prose, "p/unlicense": text["Unlicense"],
+        "p/spdx1": "// SPDX-License-Identifier: BSD-3-Clause\nint main;", "p/spdx2": "SPDX-License-Identifier: GPL-2.0-only", "p/spdx3": "/* SPDX-License-Identifier: LGPL-3.0-or-later */",
+        "p/spdx4": "SPDX-License-Identifier: Foo-1.0", "p/prose": prose + "Released under the MIT License. " + prose, "p/none": prose + "the licence of the inn was lost, copyright was not known, " + prose,
+    }
+    table = spark.createDataFrame([(p, t, 1) for p, t in files.items()], "path string, text string, unit int")
+    found = {r["path"]: (r["license"], r["how"]) for r in L.scan_licenses(table, "path", F.col("path"), F.col("text"), F.lit(False)).collect()}
+    own = {
+        "mit/LICENCE": "MIT", "bsd3/y": "BSD-3-Clause", "bsd2/y": "BSD-2-Clause", "isc/z": "ISC", "p/gpl3": "GPL-3.0", "p/gpl2": "GPL-2.0", "p/lgpl": "LGPL-2.1", "p/apache": "Apache-2.0",
+        "p/mpl": "MPL-2.0", "p/unlicense": "Unlicense", "p/spdx1": "BSD-3-Clause", "p/spdx2": "GPL-2.0", "p/spdx3": "LGPL-3.0", "p/prose": "MIT",
+    }
+    assert {p: x[0] for p, x in found.items() if x[1] == "own"} == own
+    assert found["mit/a/x"] == ("MIT", "inherited")  # a whole licence text speaks for its folder, whatever its name
+    assert found["p/none"][1] != "own" and found["p/spdx4"][1] != "own"
+    edges = edge_docs(spark)
+    assert {r["how"] for r in L.scan_licenses(edges, "doc_id", F.lit(None).cast("string"), F.col("text"), F.lit(True)).collect()} == {"none"}
 
 
 def bm25(index, words):
@@ -201,13 +292,69 @@ def test_leaks(spark):
     assert D.find_leaks(frame, bench.limit(0)).count() == 0 and D.find_leaks(frame.limit(0), bench).count() == 0
 
 
-@pytest.mark.parametrize("rounds", [1, 3])
-def test_many_items_go_in_rounds(spark, monkeypatch, rounds):
-    monkeypatch.setattr(D, "ITEMS_AT_ONCE", -(-6 // rounds))
-    text = "alpha beta gamma delta epsilon zeta eta theta"
-    docs = spark.createDataFrame([(i, text + f" {'iota' * (i + 1)}") for i in range(6)], "doc_id long, text string")
-    bench = spark.createDataFrame([(i, text + f" {'iota' * (i + 1)}") for i in range(6)], "item_id long, text string")
-    assert {(r[0], r[1]) for r in D.find_leaks(docs, bench).collect()} >= {(i, i) for i in range(6)}
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_rounds_change_nothing(spark, monkeypatch, kind):
+    rng = random.Random(15)
+    vocab = [f"w{i}" for i in range(400)]
+    say = lambda n: " ".join(rng.choices(vocab, weights=[1 / (k + 3) for k in range(400)], k=n))
+    names = [f"i{i:03}" if kind == "string" else i for i in range(90)]
+    items = [(names[i], say(rng.randint(8, 40)) + ("? " + say(4) if i % 3 == 0 else "") if i else say(300)) for i in range(90)]
+    docs = [(i, " ".join([say(rng.randint(0, 80)), " ".join(t for t in items[i % 90][1].split() if rng.random() < 0.9), say(rng.randint(0, 80))])) for i in range(180)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([*items, *items[:3], (None, items[4][1])], f"item_id {kind}, text string")
+    found = []
+    for at_once in (20_000, 31, 7):
+        monkeypatch.setattr(D, "ITEMS_AT_ONCE", at_once)
+        found.append(Counter(map(tuple, D.find_leaks(frame, bench).collect())))
+        assert D.drop_leaks(frame, bench).count() == len(docs) - len({f[0] for f in found[-1]})
+    assert len(found[0]) > 60 and type(next(iter(found[0]))[1]) is (str if kind == "string" else int)
+    strip = lambda c: {(d, i, round(s, 9), q, a) for d, i, s, q, a in c}
+    assert strip(found[0]) == strip(found[1]) == strip(found[2])
+
+
+def plain_leaks(items, text, threshold=D.THRESHOLD):
+    """All items found in a text: every window scored with plain BM25, and verified."""
+    index = D.build_index(items)
+    names = {v: k for k, v in index.terms.items()}
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    half, out = index.window // 2, {}
+    n = max(-(-len(words) // half) - 1, 1) if words else 0
+    for k in range(n):
+        stop = len(words) if k == n - 1 else k * half + index.window
+        here = words[k * half : stop]
+        scores = bm25(index, [index.terms[w] for w in set(here) if w in index.terms])
+        for part, score in enumerate(scores):
+            if score < threshold - 1e-9:
+                continue
+            own = [names[t] for t in index.parts[part]]
+            long = min(D.GRAM, len(own))
+            grams = lambda ws: {tuple(ws[i : i + long]) for i in range(len(ws) - long + 1)}
+            question = len(grams(here) & grams(own)) / len(grams(own))
+            answer = {names[t] for t in index.answers[part]}
+            behind = set(words[k * half : min(stop + index.reach[part], len(words))])
+            share = len(answer & behind) / len(answer) if answer else 1.0
+            if question >= D.QUESTION_SHARE and share >= D.ANSWER_SHARE:
+                at = index.items[part]
+                out[at] = max(out.get(at, (0, 0, 0)), (round(score, 9), question, share))
+    return out
+
+
+def test_leaks_against_a_plain_version(spark):
+    rng = random.Random(16)
+    vocab = [f"v{i}" for i in range(300)]
+    say = lambda n: " ".join(rng.choices(vocab, weights=[1 / (k + 2) for k in range(300)], k=n))
+    items = [(i, say(rng.randint(3, 50)) + ("? " + say(rng.randint(1, 30)) if i % 2 else "")) for i in range(40)] + [(40, say(400))]
+    texts = []
+    for i in range(120):
+        words = items[i % 41][1].split()
+        kept = [w if rng.random() < 0.85 else rng.choice(vocab) for w in words][: rng.randint(len(words) // 2, len(words))]
+        texts.append(" ".join([say(rng.randint(0, 300)), *kept, say(rng.randint(0, 300))]))
+    frame = edge_docs(spark, texts)
+    found = {}
+    for r in D.find_leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect():
+        found.setdefault(r["doc_id"], {})[r["item_id"]] = (round(r["score"], 9), r["question_share"], r["answer_share"])
+    want = {i: plain for i, t in enumerate([*EDGES, *texts]) if (plain := plain_leaks(items, t))}
+    assert found == want and len(want) > 30
 
 
 def leaked_items(index, words):
