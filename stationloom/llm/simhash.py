@@ -241,12 +241,20 @@ def _leaf(depth: int, budget: int, end: int, sketch_bits: int | None):
             one, two = (table.column(c).to_numpy().view(np.uint64)[order] for c in ("sketch", "sketch2"))
             accept = lambda x, y: np.bitwise_count(one[x] ^ one[y]) + np.bitwise_count(two[x] ^ two[y]) <= sketch_bits
         u, v = trie_links(fp[:n], fp[n:] if mixed else None, depth, 0, budget, accept, end)
-        node = table.column("item").to_numpy()[order]
-        return pa.table({"u": node[u], "v": node[v]})
+        return _to_smallest(table.column("item").to_numpy()[order], u, v)
 
     return leaf
 
 
+def _to_smallest(node: np.ndarray, u: np.ndarray, v: np.ndarray) -> pa.Table:
+    """Links of each component to its smallest node, so that tasks that see the same component agree."""
+    order = np.argsort(node, kind="stable")  # the smallest place is then the smallest node
+    place = np.empty(len(node), np.int64)
+    place[order] = np.arange(len(node))
+    u, v = _forest(len(node), place[u], place[v])
+    return pa.table({"u": node[order][u], "v": node[order][v]})
+
+
 def trie_join(values: DataFrame, rows: int, budget: int = MAX_BITS, leaf_rows: int = LEAF_ROWS, bits: int = 64, sketch_bits: int | None = None) -> DataFrame:
     """Links (u, v) that connect all items at ``budget`` or fewer differing bits.
 
@@ -412,8 +420,7 @@ def _sets_of(table) -> tuple[np.ndarray, _Sets]:
 
 def _copies_within(table):
     item, sets = _sets_of(table)
-    u, v = _reach(np.arange(len(item)), lambda x, y: sets.alike(int(x[0]), y))
-    return pa.table({"u": item[u], "v": item[v]})
+    return _to_smallest(item, *_reach(np.arange(len(item)), lambda x, y: sets.alike(int(x[0]), y)))
 
 
 def _copies_of_leaders(table, leaders):
@@ -426,8 +433,7 @@ def _copies_of_leaders(table, leaders):
         near = rest[sets.alike(i, rest)]
         u.append(np.full(len(near), i))
         v.append(near)
-    u, v = _forest(len(item), np.concatenate(u), np.concatenate(v))
-    return pa.table({"u": item[u], "v": item[v]})
+    return _to_smallest(item, np.concatenate(u), np.concatenate(v))
 
 
 def copy_links(sets: DataFrame, group_sets: int = GROUP_SETS) -> DataFrame:
