@@ -201,9 +201,12 @@ def scan_licenses(files: DataFrame, key: str, path: Column, text: Column, licenc
     found = base.drop("said").join(own.join(sizes, "file_row"), "file_row", "left")
     speakers = found.where(F.col("own").isNotNull() & (F.col("speaks") | ((F.col("own.size") >= BODY) & (2 * F.col("own.size") >= F.col("n_terms")))))
     folders = speakers.groupBy(F.element_at("folders", -1).alias("folder")).agg(F.min(F.struct("own.far", "own.license", "path")).alias("said"))
-    asked = found.where(F.col("own").isNull()).select("file_row", F.posexplode("folders").alias("depth", "folder"))
-    nearest = asked.join(folders, "folder").groupBy("file_row").agg(F.max(F.struct("depth", "folder", F.col("said.license").alias("license"), F.col("said.far").alias("far"))).alias("near"))
-    return found.join(nearest, "file_row", "left").select(
+    # ancestors are looked up once for each folder, however many files it has
+    found = found.withColumn("dir", F.element_at("folders", -1))
+    asked = found.where(F.col("own").isNull()).select("dir", "folders").distinct().select("dir", F.posexplode("folders").alias("depth", "folder"))
+    nearest = asked.join(folders, "folder").groupBy("dir").agg(F.max(F.struct("depth", "folder", F.col("said.license").alias("license"), F.col("said.far").alias("far"))).alias("nearest"))
+    found = found.join(nearest, "dir", "left").withColumn("near", F.when(F.col("own").isNull(), F.col("nearest")))
+    return found.select(
         F.col("key").alias(key),
         F.coalesce("own.license", "near.license").alias("license"),
         F.when(F.col("own").isNotNull(), "own").when(F.col("near").isNotNull(), "inherited").otherwise("none").alias("how"),
