@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..operators import humidity as H
 from ..operators import kernels as K
 from ..operators import temperature as T
+from ..operators.bias import bias_shift
 from ..sources import panel as P
 from ..streaming.stateless import flag_temperature
 from . import report as R
@@ -429,6 +430,39 @@ def t9_flags(spark, d):
     return _level(T.t9_clock_offset(events_panel(spark, d), 7, 2, 1, 1, 0.5, 0.05, 3))
 
 
+# the middle of three; running medians over five days, at the ends over three, and Tukey's rule for the first and last day
+_MID = "list_sort([{}, {}, {}])[2]".format
+_BIAS = f"""
+dm AS (SELECT station, day_idx, CASE WHEN count(value) >= 12 THEN avg(value) END AS mean FROM cells GROUP BY ALL),
+anomaly AS (
+  SELECT d.station, d.day_idx, d.mean - quantile_cont(o.mean, 0.5) AS a
+  FROM dm d JOIN dm o ON o.day_idx = d.day_idx AND o.station <> d.station
+  WHERE d.mean IS NOT NULL GROUP BY d.station, d.day_idx, d.mean HAVING count(o.mean) >= 2),
+placed AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY station) AS n FROM anomaly WINDOW w AS (PARTITION BY station ORDER BY day_idx)),
+kept AS (
+  SELECT *, CASE WHEN n > 5 AND place > 2 AND place <= n - 2 THEN quantile_cont(a, 0.5) OVER (PARTITION BY station ORDER BY place ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) ELSE a END AS k FROM placed),
+near_ends AS (SELECT *, CASE WHEN n > 5 AND place IN (2, n - 1) THEN {_MID('lag(k) OVER w', 'k', 'lead(k) OVER w')} ELSE k END AS s FROM kept WINDOW w AS (PARTITION BY station ORDER BY place)),
+smooth AS (
+  SELECT *, CASE WHEN n <= 5 THEN a WHEN place = 1 THEN {_MID('k', 'lead(s) OVER w', '3 * lead(s) OVER w - 2 * lead(s, 2) OVER w')}
+    WHEN place = n THEN {_MID('k', 'lag(s) OVER w', '3 * lag(s) OVER w - 2 * lag(s, 2) OVER w')} ELSE s END AS x
+  FROM near_ends WINDOW w AS (PARTITION BY station ORDER BY place)),
+base AS (SELECT station, quantile_cont(a, 0.5) FILTER (WHERE place <= 10) AS b FROM placed WHERE n >= 10 GROUP BY station),
+compared AS (SELECT s.*, abs(s.x - b.b) > 3 AS off FROM smooth s JOIN base b USING (station)),
+front AS (SELECT day_idx FROM compared GROUP BY day_idx HAVING count(*) FILTER (WHERE off) >= 2 AND count(*) FILTER (WHERE off) > 0.5 * count(*)),
+ruled AS (
+  SELECT *, row_number() OVER (PARTITION BY station ORDER BY day_idx) - row_number() OVER (PARTITION BY station, off ORDER BY day_idx) AS run
+  FROM compared WHERE day_idx NOT IN (SELECT day_idx FROM front)),
+apart AS (SELECT station, day_idx FROM ruled WHERE off QUALIFY count(*) OVER (PARTITION BY station, run) >= 4),
+marked AS (
+  SELECT c.*, c.value IS NOT NULL AND r.station IS NOT NULL AS judged, c.value IS NOT NULL AND f.station IS NOT NULL AS hit
+  FROM cells c LEFT JOIN ruled r ON r.station = c.station AND r.day_idx = c.day_idx LEFT JOIN apart f ON f.station = c.station AND f.day_idx = c.day_idx)"""
+
+
+@_query("bias_flags", _verdict_sql(f"{EVENTS}, {_BIAS}", 9))
+def bias_flags(spark, d):
+    return _level(bias_shift(events_panel(spark, d), 3, 4, 10, 12, 3, 0.5))
+
+
 _FILL = """
 grid AS (SELECT *, CAST(round((epoch(ts) - epoch(min(ts) OVER ())) / 3600) AS BIGINT) + 1 AS place FROM {cells}),
 sides AS (
