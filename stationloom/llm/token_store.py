@@ -31,8 +31,8 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
-from array import array
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
@@ -50,12 +50,14 @@ WINDOW = 16
 #: Chunk sizes in ids: least, average (a power of two), most.
 LEAST, AVERAGE, MOST = 128, 512, 2048
 BLOCK = 4096
-KNOWN_UNITS = 600_000
+#: Units, and ids of them, that a process keeps.
+KNOWN_UNITS, KNOWN_IDS = 600_000, 3_000_000
 _LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 #: Deletes the letters of ASCII and Latin-1, and the space.
 _LATIN = dict.fromkeys([0x20, *range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)])
 _SPACES = r"[\s\p{Z}\x0B\x1C-\x1F\x{85}]"
-_seen: dict[str, dict[str, bytes]] = {}
+_POWERS = tuple(np.uint32(pow(0x01000193, WINDOW - 1 - k, 1 << 32)) for k in range(WINDOW))
+_seen: dict[str, _Known] = {}
 
 
 # --- encoding -------------------------------------------------------------
@@ -77,34 +79,74 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-def _unit_ids(units: list[str], path: str) -> list[bytes]:
-    """Each unit's ids as 32-bit integers; the first units that a process meets stay known.
+class _Known:
+    """The ids of the units that a process met first, one after another."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.ends = np.zeros(KNOWN_UNITS + 1, np.int64)
+        self.ids = np.empty(KNOWN_IDS, np.uint32)
+
+    def keep(self, units: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        n = len(self.place)
+        ends = self.ends[n] + np.cumsum(sizes)
+        fit = min(KNOWN_UNITS - n, int(np.searchsorted(ends, KNOWN_IDS, side="right")))
+        if fit > 0:
+            self.ids[self.ends[n] : ends[fit - 1]] = ids[: ends[fit - 1] - self.ends[n]]
+            self.ends[n + 1 : n + 1 + fit] = ends[:fit]
+            self.place.update(zip(units[:fit], range(n, n + fit)))
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+def _encoded(units: list[str], path: str) -> list[list[int]]:
+    """Each unit's ids.
 
     A unit of letters, with or without a space before it, is one pre-token, so
     the tokenizer's model takes it as it is; others go through the tokenizer.
     """
-    known = _seen.setdefault(path, {})
     tokenizer, letters = _tokenizer(path), _byte_letters()
-    model, fresh, mixed = tokenizer.model, {}, []
-    for unit in units:
-        if unit not in known:
-            if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()) and unit.lower().translate(_LATIN) == "":
-                spelled = unit.encode().decode("latin-1").translate(letters)
-                fresh[unit] = array("I", [t.id for t in model.tokenize(spelled)]).tobytes()
-            else:
-                mixed.append(unit)
-    for i in range(0, len(mixed), 4096):
-        part = mixed[i : i + 4096]
-        for unit, got in zip(part, tokenizer.encode_batch(part, add_special_tokens=False)):
-            fresh[unit] = array("I", got.ids).tobytes()
-    out = [known[u] if u in known else fresh[u] for u in units]
-    if len(known) < KNOWN_UNITS:
-        known.update((u, b) for u, b in fresh.items() if len(u) < 40)
+    model, out, mixed = tokenizer.model, [], []
+    for i, unit in enumerate(units):
+        if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()) and unit.lower().translate(_LATIN) == "":
+            out.append([t.id for t in model.tokenize(unit.encode().decode("latin-1").translate(letters))])
+        else:
+            out.append([])
+            mixed.append(i)
+    for k in range(0, len(mixed), 4096):
+        part = mixed[k : k + 4096]
+        for i, got in zip(part, tokenizer.encode_batch([units[i] for i in part], add_special_tokens=False)):
+            out[i] = got.ids
     return out
 
 
-def encode_texts(text: pa.Array, path: str) -> list[np.ndarray]:
-    """The ids of each whole text.
+def _unit_ids(units: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all units, and each unit's count; the first units that a process meets stay known."""
+    known = _seen.setdefault(path, _Known())
+    place = np.fromiter(map(known.place.get, units, repeat(-1)), np.int64, len(units))
+    old, new = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+    sizes = np.empty(len(units), np.int64)
+    at = place[old]
+    sizes[old] = known.ends[at + 1] - known.ends[at]
+    made = _encoded([units[i] for i in new.tolist()], path)
+    sizes[new] = [len(m) for m in made]
+    fresh = np.fromiter(chain.from_iterable(made), np.uint32)
+    begin = np.cumsum(sizes) - sizes
+    ids = np.empty(int(sizes.sum()), np.uint32)
+    ids[_ragged(begin[old], sizes[old])] = known.ids[_ragged(known.ends[at], sizes[old])]
+    ids[_ragged(begin[new], sizes[new])] = fresh
+    if len(new):
+        short = [len(units[i]) < 40 for i in new.tolist()]
+        named = [units[i] for i, s in zip(new.tolist(), short) if s]
+        known.keep(named, sizes[new][short], fresh[np.repeat(short, sizes[new])])
+    return ids, sizes
+
+
+def encode_flat(text: pa.Array, path: str, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all whole texts one after another, each with ``end`` behind it if given, and their offsets.
 
     Byte-level pre-tokenisation always breaks before a single space between
     two other characters, between a letter and punctuation or a line's end,
@@ -119,66 +161,95 @@ def encode_texts(text: pa.Array, path: str) -> list[np.ndarray]:
     for token in special:
         odd = pc.or_(odd, pc.match_substring(text, token))
     odd = odd.to_numpy(zero_copy_only=False)
-    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(text)
-    for i in np.flatnonzero(odd).tolist():
-        out[i] = np.array(_tokenizer(path).encode(text[i].as_py(), add_special_tokens=False).ids, np.uint32)
-    plain = np.flatnonzero(~odd)
+    size = np.zeros(len(text), np.int64)
+    plain, by_hand = np.flatnonzero(~odd), np.flatnonzero(odd)
+    whole = [_tokenizer(path).encode(text[i].as_py(), add_special_tokens=False).ids for i in by_hand.tolist()]
+    size[by_hand] = [len(w) for w in whole]
+    ids = np.zeros(0, np.uint32)
     if len(plain):
         cut = pc.replace_substring(text.take(pa.array(plain)), " ", "\x00 ")
         cut = pc.replace_substring_regex(cut, rf"({_LETTER})([.,;:!?|\n$%&#*()\"])", "\\1\x00\\2")
         cut = pc.replace_substring_regex(cut, rf"([^\s\p{{Z}}\x0B\x1C-\x1F\x{{85}}]\n)({_LETTER})", "\\1\x00\\2")
         flat, offsets = W.flat_parts(pc.split_pattern(cut, "\x00"), drop_empty=False)
         codes, distinct = W.coded(flat)
-        made = _unit_ids(distinct.to_pylist(), path)
-        size = np.array([len(b) // 4 for b in made], np.int64)
-        table = np.frombuffer(b"".join(made), "<u4")
-        begin = (np.cumsum(size) - size)[codes]
-        size = size[codes]
-        end = np.cumsum(size)
-        ids = table[np.arange(end[-1]) + np.repeat(begin - end + size, size)]
-        ends = np.concatenate([[0], end])[offsets].tolist()
-        for i, a, b in zip(plain.tolist(), ends, ends[1:]):
-            out[i] = ids[a:b]
-    return out
+        table, of_unit = _unit_ids(distinct.to_pylist(), path)
+        begin = (np.cumsum(of_unit) - of_unit)[codes]
+        of_unit = of_unit[codes]
+        ids = table[_ragged(begin, of_unit)]
+        size[plain] = np.diff(np.concatenate([[0], np.cumsum(of_unit)])[offsets])
+    ends = np.cumsum(size + (end is not None))
+    start = ends - size - (end is not None)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+    out[_ragged(start[plain], size[plain])] = ids
+    for i, w in zip(by_hand.tolist(), whole):
+        out[start[i] : start[i] + size[i]] = w
+    if end is not None:
+        out[ends - 1] = end
+    return out, np.concatenate([[0], ends])
+
+
+def encode_texts(text: pa.Array, path: str) -> list[np.ndarray]:
+    """The ids of each whole text."""
+    ids, offsets = encode_flat(text, path)
+    return np.split(ids, offsets[1:-1]) if len(text) else []
 
 
 # --- chunks ---------------------------------------------------------------
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """The ends of the chunks: where the hash of the last ids has nine zero bits, within the size limits."""
-    if len(ids) <= LEAST:
-        return [len(ids)]
-    mixed = (ids.astype(np.uint32) * np.uint32(2654435761)) ^ (ids.astype(np.uint32) * np.uint32(2246822519) >> np.uint32(15))
+def _wanted(ids: np.ndarray) -> np.ndarray:
+    """Places behind the windows whose hash has nine zero bits."""
+    if len(ids) < WINDOW:
+        return np.zeros(0, np.int64)
+    mixed = (ids * np.uint32(2654435761)) ^ (ids * np.uint32(2246822519) >> np.uint32(15))
     rolled = np.zeros(len(ids) - WINDOW + 1, np.uint32)
-    for k in range(WINDOW):
-        rolled += mixed[k : len(mixed) - WINDOW + 1 + k] * np.uint32(pow(0x01000193, WINDOW - 1 - k, 1 << 32))
-    wanted = np.flatnonzero((rolled >> np.uint32(7)) % np.uint32(AVERAGE) == 0) + WINDOW
+    for k, power in enumerate(_POWERS):
+        rolled += mixed[k : len(mixed) - WINDOW + 1 + k] * power
+    return np.flatnonzero((rolled >> np.uint32(7)) % np.uint32(AVERAGE) == 0) + WINDOW
+
+
+def _ends(wanted: list[int], n: int) -> list[int]:
+    """The ends of a document's chunks: wanted places, within the size limits."""
+    if n <= LEAST:
+        return [n]
     ends, last = [], 0
-    for at in [*wanted.tolist(), len(ids)]:
+    for at in [*wanted, n]:
         while at - last > MOST:
             last += MOST
             ends.append(last)
-        if at - last >= LEAST or at == len(ids) and at > last:
+        if at - last >= LEAST or at == n and at > last:
             ends.append(at)
             last = at
     return ends
 
 
+def cut_points(ids: np.ndarray) -> list[int]:
+    """The ends of a document's chunks."""
+    return _ends(_wanted(ids.astype(np.uint32)).tolist(), len(ids))
+
+
 def _segments(batches, path: str, end_id: int):
     """Chunk rows of documents; a chunk that this task has sent lately goes without its ids."""
     sent: set[bytes] = set()
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
     for batch in W.slices(batches, "stored_text", 3 << 20):
         rows: list[tuple] = []
-        for at_row, ids in enumerate(encode_texts(W.text_of(batch, "stored_text"), path)):
-            ids = np.append(ids, np.uint32(end_id))
-            at = 0
-            for seq, end in enumerate(cut_points(ids)):
-                data = ids[at:end].astype("<u4").tobytes()
-                digest = hashlib.sha256(data).digest()
-                rows.append((at_row, seq, end - at, digest, None if digest in sent else _packed(data)))
-                sent.add(digest)
+        ids, offsets = encode_flat(W.text_of(batch, "stored_text"), path, end_id)
+        wanted = _wanted(ids)
+        # a window lies within one document
+        first, last = np.searchsorted(wanted, offsets[:-1] + WINDOW), np.searchsorted(wanted, offsets[1:], side="right")
+        data = ids.astype("<u4").tobytes()
+        small = ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else None
+        for at_row, (a, b, i, j) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), first.tolist(), last.tolist())):
+            at = a
+            for seq, end in enumerate(_ends((wanted[i:j] - a).tolist(), b - a)):
+                end += a
+                digest = hashlib.sha256(data[4 * at : 4 * end]).digest()
+                packed = None
+                if digest not in sent:
+                    packed = b"\x02" + small[2 * at : 2 * end] if small is not None else _packed(data[4 * at : 4 * end])
+                    sent.add(digest)
+                rows.append((at_row, seq, end - at, digest, packed))
                 at = end
         if len(sent) > 200_000:
             sent.clear()
