@@ -53,6 +53,19 @@ FEW = 16
 # --- fingerprints ---------------------------------------------------------
 
 
+def _majority(hashes: np.ndarray, at: np.ndarray, size: np.ndarray, bitorder: str) -> np.ndarray:
+    """For runs of hashes, the bits that over half of them have: uint8, 64 a run.
+
+    Up to 255 hashes are summed with eight bits' counts in a word.
+    """
+    lanes = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder=bitorder).view(np.uint64)
+    chunks = -(-size // 255)
+    ends = np.cumsum(chunks)
+    starts = np.repeat(at, chunks) + 255 * (np.arange(ends[-1]) - np.repeat(ends - chunks, chunks))
+    counts = np.add.reduceat(lanes, starts, axis=0).view(np.uint8).reshape(-1, 64)
+    return (2 * np.add.reduceat(counts, ends - chunks, axis=0, dtype=np.int32) > size[:, None]).astype(np.uint8)
+
+
 def fingerprints_of(text: pa.Array, width: int = SHINGLE) -> np.ndarray:
     """The fingerprint of each text, as uint64."""
     flat, offsets = W.flat_parts(pc.ascii_split_whitespace(pc.ascii_lower(text)), drop_empty=True)
@@ -74,12 +87,9 @@ def fingerprints_of(text: pa.Array, width: int = SHINGLE) -> np.ndarray:
     hashes, row = hashes[order], row[order]
     out = np.zeros(len(n_words), np.uint64)
     if len(row):
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         at = np.flatnonzero(np.concatenate([[True], np.diff(row) > 0]))
-        count = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
         many = np.diff(np.concatenate([at, [len(row)]]))
-        major = (2 * count > many[:, None]).astype(np.uint8)
-        out[row[at]] = np.packbits(major, axis=1, bitorder="little").view(np.uint64).ravel()
+        out[row[at]] = np.packbits(_majority(hashes, at, many, "little"), axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
@@ -274,10 +284,11 @@ def trie_join(values: DataFrame, rows: int, budget: int = MAX_BITS, leaf_rows: i
     group = ["trie", "lead"]
     turned = stored(turned, "subtries")
     sizes = turned.groupBy(*group).agg(F.count("*").alias("n")).where("n > 1")
-    large = stored(sizes.where(F.col("n") > leaf_rows).select(*group, F.ceil(F.col("n") / leaf_rows).alias("parts")), "large-subtries")
+    large = sizes.where(F.col("n") > leaf_rows).select(*group, F.ceil(F.col("n") / leaf_rows).alias("parts"))
     leaf = _leaf(depth, budget, bits, sketch_bits)
     one = F.lit(0).alias("part"), F.lit(0).alias("other"), F.lit(False).alias("second")
     some_large = not large.isEmpty()
+    large = stored(large, "large-subtries") if some_large else large
     small = turned.join(large, group, "left_anti") if some_large else turned
     links = small.select("*", *one).groupBy(*group).applyInArrow(leaf, "u long, v long")
     if some_large:
@@ -288,7 +299,7 @@ def trie_join(values: DataFrame, rows: int, budget: int = MAX_BITS, leaf_rows: i
         pairs = cut.select(*turned.columns, *sides).groupBy(*group, "part", "other").applyInArrow(leaf, "u long, v long")
         links = links.union(pairs)
     links = stored(links, "links")
-    remove(values.sparkSession, turned, large)
+    remove(values.sparkSession, turned)
     return links
 
 
@@ -373,9 +384,7 @@ def set_marks(text: pa.Array, bits: int, tries: int) -> tuple[np.ndarray, np.nda
         at, size = offsets[full], np.diff(offsets)[full]
         for k in range(words):
             hashed = _mixed(flat + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-            each = np.unpackbits(hashed.view(np.uint8).reshape(-1, 8), axis=1)
-            count = np.add.reduceat(each, at, axis=0, dtype=np.int32)
-            major[full, 64 * k : 64 * (k + 1)] = 2 * count > size[:, None]
+            major[full, 64 * k : 64 * (k + 1)] = _majority(hashed, at, size, "big")
     packed = lambda m: np.packbits(m, axis=-1).view(">u8").astype(np.uint64)
     own = major[:, 128 : 128 + bits * tries].reshape(len(text), tries, bits)
     padded = np.concatenate([own, np.zeros((len(text), tries, 64 - bits), np.uint8)], axis=2)
@@ -448,9 +457,10 @@ def copy_links(sets: DataFrame, group_sets: int = GROUP_SETS) -> DataFrame:
     """
     schema = "u long, v long"
     sizes = sets.groupBy("cluster").agg(F.count("*").alias("n"))
-    large = stored(sizes.where(F.col("n") > group_sets).select("cluster", F.ceil(F.col("n") / group_sets).cast("int").alias("parts")), "large-groups")
+    large = sizes.where(F.col("n") > group_sets).select("cluster", F.ceil(F.col("n") / group_sets).cast("int").alias("parts"))
     if large.isEmpty():
         return sets.groupBy("cluster").applyInArrow(_copies_within, schema)
+    large = stored(large, "large-groups")
     part = F.pmod(F.xxhash64("item"), F.col("parts")).cast("int")
     cut = stored(sets.join(large, "cluster", "left").withColumn("part", F.coalesce(part, F.lit(0))), "cut-groups")
     links = stored(cut.groupBy("cluster", "part").applyInArrow(_copies_within, schema), "part-links")
