@@ -8,13 +8,15 @@ number of rows in a batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 6 << 20
+#: What forgets the caches that an operator keeps in a process, by the operator's name.
+FORGET: dict[str, Callable[[], object]] = {}
 
 
 def text_of(batch: pa.RecordBatch, column: str) -> pa.Array:
@@ -28,8 +30,17 @@ def whole(text: pa.Array) -> pa.Array:
     return pc.fill_null(text.cast(pa.large_string()), "")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES, owner: str = "") -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with at most so many bytes in ``column``.
+
+    Processes serve one operator after another: the caches of all but the
+    ``owner`` are forgotten, and unused memory goes back before each batch.
+    """
+    for name, forget in FORGET.items():
+        if name != owner:
+            forget()
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         if batch.num_rows == 0:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)

@@ -41,10 +41,11 @@ SEED = 7
 ONE = 1 << 30  # the shares of a node's edges sum up to this
 BLANK = -1e8  # scores below this mark runs of U+2581 in the file
 #: Edges (16 bytes each) of plain units that a process keeps, and other units whose edges it keeps.
-KEPT_EDGES, CACHED_UNITS = 3_000_000, 20_000
+KEPT_EDGES, CACHED_UNITS = 5_000_000, 40_000
 #: Bytes of text whose lattices are in memory at once: a lattice takes some 100 times its text.
-SLICE = 1 << 19
+SLICE = 1 << 18
 _lattices: dict[tuple, Lattice] = {}
+W.FORGET["pieces"] = _lattices.clear
 
 
 class Lattice:
@@ -243,7 +244,7 @@ def encode_sampled(docs: DataFrame, path: str, key="doc_id", text="text", theta=
     kind = dict(docs.dtypes)[key]
 
     def encode(batches):
-        for batch in W.slices(batches, "encoded_text", SLICE):
+        for batch in W.slices(batches, "encoded_text", SLICE, "pieces"):
             source = W.text_of(batch, "encoded_text")
             ids, n = sample_pieces(source, batch.column(0).to_pylist(), path, theta, seed)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids))

@@ -23,6 +23,7 @@ from . import _words as W
 
 MODEL = "piece_bpe_32k.model"
 _caches: dict[str, U.UnitCache] = {}
+W.FORGET["counts"] = _caches.clear
 
 
 def count_pieces(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -39,7 +40,7 @@ def count_tokens(docs: DataFrame, path: str, key="doc_id", text="text") -> DataF
     kind = dict(docs.dtypes)[key]
 
     def count(batches):
-        for batch in W.slices(batches, "counted_text"):
+        for batch in W.slices(batches, "counted_text", owner="counts"):
             n, score = count_pieces(W.text_of(batch, "counted_text"), path)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(score)], ["key", "n_tokens", "best_score"])
 

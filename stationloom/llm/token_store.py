@@ -58,6 +58,7 @@ _LATIN = dict.fromkeys([0x20, *range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF
 _SPACES = r"[\s\p{Z}\x0B\x1C-\x1F\x{85}]"
 _POWERS = tuple(np.uint32(pow(0x01000193, WINDOW - 1 - k, 1 << 32)) for k in range(WINDOW))
 _seen: dict[str, _Known] = {}
+W.FORGET["token store"] = _seen.clear
 
 
 # --- encoding -------------------------------------------------------------
@@ -232,7 +233,7 @@ def _segments(batches, path: str, end_id: int):
     """Chunk rows of documents; a chunk that this task has sent lately goes without its ids."""
     sent: set[bytes] = set()
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    for batch in W.slices(batches, "stored_text", 3 << 20):
+    for batch in W.slices(batches, "stored_text", 3 << 20, "token store"):
         rows: list[tuple] = []
         ids, offsets = encode_flat(W.text_of(batch, "stored_text"), path, end_id)
         wanted = _wanted(ids)

@@ -395,3 +395,13 @@ def test_arrow_text_is_whole():
     batch = pa.RecordBatch.from_arrays([pa.array(["a B", None, "c", "D e " * 10])], ["t"])
     parts = [W.words_of(W.text_of(b, "t"), True)[1].to_pylist() for b in W.slices([batch], "t", 3)]
     assert parts == [["a", "b"], ["c"], ["d", "e"]] or parts == [["a", "b"], [], ["c"], ["d", "e"]]
+
+
+def test_a_process_keeps_the_caches_of_one_operator(monkeypatch):
+    from stationloom.llm import _words as W
+
+    told = []
+    monkeypatch.setattr(W, "FORGET", {n: (lambda n=n: told.append(n)) for n in ("a", "b")})
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"])], ["t"])
+    assert len(list(W.slices([batch], "t", owner="a"))) == 1 and told == ["b"]
+    assert len(list(W.slices([batch], "t"))) == 1 and told == ["b", "a", "b"]
