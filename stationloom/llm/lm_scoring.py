@@ -121,28 +121,42 @@ def _step(w, before, h):
     return z, r, sn, n, new
 
 
-def _log_softmax(logits):
-    logits = logits - logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+def _chosen(logits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Log of the softmax share of one place in each column of ``logits``, which are overwritten."""
+    logits -= logits.max(axis=0)
+    out = logits[place, np.arange(len(place))]
+    np.exp(logits, out=logits)
+    return out - np.log(logits.sum(axis=0))
+
+
+def _off_by(logits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The softmax of each column less one at its place: the loss's derivative; overwrites ``logits``."""
+    logits -= logits.max(axis=0)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=0)
+    logits[place, np.arange(len(place))] -= 1
+    return logits
 
 
 def _by_class(layout: Layout, target: np.ndarray):
-    """(class, positions) of the targets, for the classes that occur."""
+    """An order of the targets by class, and (class, from, to) in that order for the classes that occur."""
     of = layout.class_of[target]
     order = np.argsort(of, kind="stable")
-    cuts = np.flatnonzero(np.diff(of[order])) + 1
-    for part in np.split(order, cuts):
-        if len(part):
-            yield int(of[part[0]]), part
+    cuts = [0, *(np.flatnonzero(np.diff(of[order])) + 1).tolist(), len(of)]
+    return order, [(int(of[order[i]]), i, j) for i, j in zip(cuts, cuts[1:]) if j > i]
 
 
 def log_chances(w, layout: Layout, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log of each target's probability in its state."""
-    out = _log_softmax(h @ w["wc"] + w["bc"])[np.arange(len(target)), layout.class_of[target]]
-    for c, at in _by_class(layout, target):
+    order, classes = _by_class(layout, target)
+    state, place, within = np.ascontiguousarray(h[order].T), layout.place[target[order]], np.zeros(len(order), h.dtype)
+    for c, i, j in classes:
         a, b = layout.bounds[c], layout.bounds[c + 1]
         if b - a > 1:
-            out[at] += _log_softmax(h[at] @ w["wv"][a:b].T + w["bv"][a:b])[np.arange(len(at)), layout.place[target[at]]]
+            within[i:j] = _chosen(w["wv"][a:b] @ state[:, i:j] + w["bv"][a:b, None], place[i:j])
+    within += _chosen(w["wc"].T @ state + w["bc"][:, None], layout.class_of[target[order]])
+    out = np.empty_like(within)
+    out[order] = within
     return out
 
 
@@ -153,45 +167,52 @@ def _gradients(w, layout: Layout, before, target, fresh, h0, live=None):
     ``live`` the steps of lanes that have not ended, which alone have a loss.
     """
     steps, lanes = target.shape
-    states, gates = [], []
-    h = h0
+    kind = w["u"].dtype
+    hs, zs, rs, sns, ns, states = (np.empty((steps, lanes, HIDDEN), kind) for _ in range(6))
+    h, new_there = h0, fresh.any(axis=1)
     for t in range(steps):
-        h = np.where(fresh[t][:, None], np.float32(0), h)
-        *gate, new = _step(w, before[t], h)
-        gates.append((h, *gate))
-        states.append(new)
-        h = new
-    flat, goal = np.concatenate(states), target.ravel()
+        hs[t] = h
+        if new_there[t]:
+            hs[t, fresh[t]] = 0
+        zs[t], rs[t], sns[t], ns[t], states[t] = _step(w, before[t], hs[t])
+        h = states[t]
+    flat, goal = states.reshape(-1, HIDDEN), target.ravel()
     g = {k: np.zeros_like(v) for k, v in w.items()}
     live = np.ones(len(goal), bool) if live is None else live.ravel()
-    scale = (live / np.float32(live.sum())).astype(np.float32)[:, None]
-    d = np.exp(_log_softmax(flat @ w["wc"] + w["bc"]))
-    d[np.arange(len(goal)), layout.class_of[goal]] -= 1
-    d *= scale
-    g["wc"], g["bc"] = flat.T @ d, d.sum(axis=0)
-    dh = d @ w["wc"].T
-    for c, at in _by_class(layout, goal):
+    order, classes = _by_class(layout, goal)
+    state, place = np.ascontiguousarray(flat[order].T), layout.place[goal[order]]
+    share = (live[order] / np.float32(live.sum())).astype(np.float32)
+    d = _off_by(w["wc"].T @ state + w["bc"][:, None], layout.class_of[goal[order]])
+    d *= share
+    g["wc"], g["bc"] = state @ d.T, d.sum(axis=1)
+    own = w["wc"] @ d
+    for c, i, j in classes:
         a, b = layout.bounds[c], layout.bounds[c + 1]
         if b - a > 1:
-            d = np.exp(_log_softmax(flat[at] @ w["wv"][a:b].T + w["bv"][a:b]))
-            d[np.arange(len(at)), layout.place[goal[at]]] -= 1
-            d *= scale[at]
-            g["wv"][a:b], g["bv"][a:b] = d.T @ flat[at], d.sum(axis=0)
-            dh[at] += d @ w["wv"][a:b]
+            d = _off_by(w["wv"][a:b] @ state[:, i:j] + w["bv"][a:b, None], place[i:j])
+            d *= share[i:j]
+            g["wv"][a:b], g["bv"][a:b] = d @ state[:, i:j].T, d.sum(axis=1)
+            own[:, i:j] += w["wv"][a:b].T @ d
+    dh = np.empty_like(flat)
+    dh[order] = own.T
     dh = dh.reshape(steps, lanes, HIDDEN)
-    back = np.zeros((lanes, HIDDEN), np.float32)
-    da = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
+    to_z, to_n, to_r = (hs - ns) * zs * (1 - zs), (1 - zs) * (1 - ns * ns), sns * rs * (1 - rs)
+    da, ds = (np.empty((steps, lanes, 3 * HIDDEN), kind) for _ in range(2))
+    back = np.zeros((lanes, HIDDEN), kind)
+    turned = np.ascontiguousarray(w["u"].T)
     for t in reversed(range(steps)):
-        h, z, r, sn, n = gates[t]
         d = dh[t] + back
-        dn = d * (1 - z) * (1 - n * n)
-        da[t, :, :HIDDEN] = d * (h - n) * z * (1 - z)
-        da[t, :, HIDDEN : 2 * HIDDEN] = dn * sn * r * (1 - r)
+        dn = d * to_n[t]
+        np.multiply(d, to_z[t], out=da[t, :, :HIDDEN])
+        np.multiply(dn, to_r[t], out=da[t, :, HIDDEN : 2 * HIDDEN])
         da[t, :, 2 * HIDDEN :] = dn
-        ds = da[t].copy()
-        ds[:, 2 * HIDDEN :] *= r
-        g["u"] += h.T @ ds
-        back = (d * z + ds @ w["u"].T) * ~fresh[t][:, None]
+        ds[t, :, : 2 * HIDDEN] = da[t, :, : 2 * HIDDEN]
+        np.multiply(dn, rs[t], out=ds[t, :, 2 * HIDDEN :])
+        back = ds[t] @ turned
+        back += d * zs[t]
+        if new_there[t]:
+            back[fresh[t]] = 0
+    g["u"] = hs.reshape(-1, HIDDEN).T @ ds.reshape(-1, 3 * HIDDEN)
     da, seen = da.reshape(-1, 3 * HIDDEN), before.ravel()
     order = np.argsort(seen, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], np.diff(seen[order]) > 0]))
@@ -540,8 +561,10 @@ def score_documents(docs: DataFrame, held_out, key="doc_id", text="text") -> Dat
 
     numbered = base.select(F.monotonically_increasing_id().alias("doc_row"), "key", "held_out", "lm_text")
     schema = f"doc_row long, word string, n long, key {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double"
+    # words meet by 128 bits of hash: longs are sorted and compared faster than words
+    hashed = [F.xxhash64("word").alias("h1"), F.xxhash64(F.lit(1), "word").alias("h2")]
     rows = numbered.mapInArrow(score, schema)
-    met = rows.join(counts, "word", "left")
+    met = rows.select(*hashed, *[c for c in names if c != "word"]).join(counts.select(*hashed, "c"), ["h1", "h2"], "left")
     rare = F.when(F.col("n") > 0, F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5))
     total = math.log10(n_all + 0.5 * (n_types + 1))
     done = met.groupBy("doc_row").agg(
