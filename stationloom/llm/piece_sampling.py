@@ -262,18 +262,39 @@ def decode(encoded: DataFrame, path: str, key="doc_id", ids="ids") -> DataFrame:
 
 def decode_digests(encoded: DataFrame, path: str, key="doc_id", ids="ids") -> DataFrame:
     """(key, ids_crc32, decoded_sha256): what ``decode`` gives, as digests."""
+    return _decoded(encoded, path, key, ids, _digests, "ids_crc32 long, decoded_sha256 string")
 
-    def digests(texts, counts, flat):
-        ends = np.cumsum(counts).tolist()
-        crc = [zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip([0, *ends[:-1]], ends)]
-        return [pa.array(crc, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
 
-    return _decoded(encoded, path, key, ids, digests, "ids_crc32 long, decoded_sha256 string", ["text_sha256"])
+def encode_digests(docs: DataFrame, path: str, key="doc_id", text="text", theta=THETA, seed=SEED) -> DataFrame:
+    """(key, n_pieces, ids_crc32, decoded_sha256, lossless) for each row.
 
+    What ``decode_digests`` gives for the ids of ``encode_sampled``, and whether
+    the decoded text is the source; the ids are decoded in the task that drew
+    them and need not leave it.
+    """
+    kind = dict(docs.dtypes)[key]
+
+    def check(batches):
+        for batch in W.slices(batches, "encoded_text", SLICE, "pieces"):
+            source = W.text_of(batch, "encoded_text")
+            ids, n = sample_pieces(source, batch.column(0).to_pylist(), path, theta, seed)
+            decoded = spell_pieces(ids, n, path)
+            same = [a == b for a, b in zip(decoded, source.cast(pa.large_binary()).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *_digests(decoded, n, ids), pa.array(same)], ["key", "n_pieces", "ids_crc32", "decoded_sha256", "lossless"])
+
+    pair = docs.select(F.col(key).alias("key"), F.col(text).alias("encoded_text"))
+    schema = f"key {kind}, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean"
+    return pair.mapInArrow(check, schema).withColumnRenamed("key", key)
+
+
+def _digests(texts: list[bytes], counts: np.ndarray, flat: np.ndarray) -> list[pa.Array]:
+    """CRC-32 of each run of ids as little-endian 32-bit integers, and SHA-256 of each text."""
+    data, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+    crc = [zlib.crc32(data[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+    return [pa.array(crc, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
 
-def _decoded(encoded: DataFrame, path, key, ids, columns, schema, carried=()) -> DataFrame:
-    kinds = dict(encoded.dtypes)
 
+def _decoded(encoded: DataFrame, path, key, ids, columns, schema) -> DataFrame:
     def run(batches):
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
@@ -281,27 +302,15 @@ def _decoded(encoded: DataFrame, path, key, ids, columns, schema, carried=()) ->
                 lists = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
                 made = columns(spell_pieces(flat, lists, path), lists, flat)
-                arrays = [batch.column(0), *batch.columns[2:], *made]
-                yield pa.RecordBatch.from_arrays(arrays, ["key", *carried, *[c.split()[0] for c in schema.split(", ")]])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["key", *[c.split()[0] for c in schema.split(", ")]])
 
-    kept = "".join(f"{c} {kinds[c]}, " for c in carried)
-    pair = encoded.select(F.col(key).alias("key"), F.col(ids).alias("decoded_ids"), *carried)
-    return pair.mapInArrow(run, f"key {kinds[key]}, {kept}{schema}").withColumnRenamed("key", key)
+    pair = encoded.select(F.col(key).alias("key"), F.col(ids).alias("decoded_ids"))
+    return pair.mapInArrow(run, f"key {dict(encoded.dtypes)[key]}, {schema}").withColumnRenamed("key", key)
 
 
 def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    path = public_tokenizers.path(MODEL)
-    encoded = encode_sampled(docs, path)
-    found = decode_digests(encoded.withColumn("text_sha256", F.concat_ws(":", "text_sha256", "n_pieces")), path)
-    source = F.split("text_sha256", ":")
-    return found.select(
-        "doc_id",
-        source[1].cast("long").alias("n_pieces"),
-        "ids_crc32",
-        "decoded_sha256",
-        (source[0] == F.col("decoded_sha256")).alias("lossless"),
-    )
+    return encode_digests(docs, public_tokenizers.path(MODEL))
 
 
 QUERIES = {"op4_piece_sampling": op4_piece_sampling}

@@ -342,6 +342,12 @@ def test_sampled_pieces_decode(spark):
     assert len(ids(encoded)) == len(EDGES) + 100  # repeated rows get the same pieces
     assert ids(encoded) != ids(piece_sampling.encode_sampled(docs, PIECES, seed=8))
     assert piece_sampling.encode_sampled(docs.limit(0), PIECES).count() == 0
+    # the same digests whether ids are handed on or decoded at once
+    apart = {tuple(r) for r in encoded.select("doc_id", "n_pieces").join(piece_sampling.decode_digests(encoded, PIECES), "doc_id").collect()}
+    at_once = [tuple(r) for r in piece_sampling.encode_digests(docs, PIECES).collect()]
+    assert {r[:4] for r in at_once} == apart and all(r[4] for r in at_once) and len(at_once) == docs.count()
+    assert {r[0]: r[2] for r in at_once} == {r["doc_id"]: zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in encoded.collect()}
+    assert piece_sampling.encode_digests(docs.limit(0), PIECES).count() == 0
 
 
 def test_units_do_not_depend_on_the_texts_beside():
