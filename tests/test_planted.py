@@ -355,9 +355,9 @@ def test_a_shifted_station(spark):
     raw = {f"S{k + 1}": [weather[i // 24] + 4 * math.sin(2 * math.pi * i / 24) + 0.4 * k + rng.gauss(0, 0.2) for i in range(90 * 24)] for k in range(5)}
     for i in range(50 * 24, 90 * 24):
         raw["S2"][i] += 2.5
-    for k in (1, 4, 5):  # a front: three stations for a day
-        for i in range(70 * 24, 76 * 24):
-            raw[f"S{k}"][i] += 4
+    for i in range(70 * 24, 76 * 24):  # a front parts the stations for six days
+        raw["S1"][i] += 4
+        raw["S4"][i] -= 4
     raw["S3"][10 * 24 :] = [None] * (80 * 24)  # too short a record
     panel = make(spark, raw)
     done = bias_shift(panel)
