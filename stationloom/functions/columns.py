@@ -14,6 +14,14 @@ def number(col: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def rounded(col: Column, places: int) -> Column:
+    """The column rounded as the SQL's engine does: the scaled double, halves away from zero.
+
+    Spark's own ``round`` goes by the decimal digits that the double prints as, which parts from it near halves.
+    """
+    return F.round(col * 10.0**places) / 10.0**places
+
+
 def season(month: Column) -> Column:
     """winter, spring, summer or autumn of a month's number."""
     return (
