@@ -27,6 +27,7 @@ is learnt from in pieces, each from an empty state.
 
 from __future__ import annotations
 
+import ctypes
 import heapq
 import math
 from dataclasses import dataclass
@@ -50,7 +51,7 @@ ROUNDS = 3
 SHARD_TOKENS = 1_200_000
 RATE = 0.01
 #: Bytes of text that are learnt from, or scored, at once.
-LEARN_BYTES, SCORE_BYTES = 6 << 20, 12 << 20
+LEARN_BYTES, SCORE_BYTES = 6 << 20, 6 << 20
 #: Weight vectors that one task averages.
 FAN_IN = 64
 END = ""  # stands for the end token; no word is empty
@@ -329,6 +330,26 @@ def document_scores(w, layout: Layout, tokens: np.ndarray, offsets: np.ndarray,
 # --- the corpus -----------------------------------------------------------
 
 
+def _give_back() -> None:
+    """Return what the process holds without using it, Arrow's memory and, where the C library can, numpy's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _tidy(work):
+    """``work`` over batches; a process that waits for its next task then holds nothing of the last one."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
 def _count_words(batches):
     for batch in W.slices(batches, "lm_text"):
         codes, distinct, _ = W.words_of(W.text_of(batch, "lm_text"), lower=True)
@@ -431,7 +452,7 @@ def _fit(docs: DataFrame, vocab: Vocabulary, weights, n_tokens: int) -> dict[str
 
         part = docs.withColumn("dealt", dealt).where(F.col("dealt") % ROUNDS == k).withColumn("shard", F.floor(F.col("dealt") / ROUNDS))
         part = part.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "lm_hash", "lm_key", "lm_text")
-        made = stored(part.select("shard", "lm_text").mapInArrow(train, schema), "weights")
+        made = stored(part.select("shard", "lm_text").mapInArrow(_tidy(train), schema), "weights")
         n, tokens = made.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
         learnt += tokens
         while n > 1:  # about FAN_IN rows in a group
@@ -480,6 +501,51 @@ def _head(counts: DataFrame) -> tuple[pa.Array, np.ndarray]:
     return (words.chunk(0) if words.num_chunks else pa.array([], pa.large_string())), table.column("c").to_numpy().astype(float)
 
 
+SCORED = ["doc_row", "word", "n", "key", "held_out", "n_tokens", "n_known", "logs", "score"]
+
+
+def _scored(batches, vocab: Vocabulary, w):
+    """Rows ``SCORED``: one for each document of (doc_row, key, held_out, lm_text), and one for each of its rare words."""
+    logs = np.log10(vocab.counts + 0.5)
+    shape_logs = np.log10(vocab.shape_mass)
+    end_rank = pc.index(vocab.words, END).as_py()
+    for batch in W.slices(batches, "lm_text", SCORE_BYTES):
+        codes, distinct, offsets, rank, tokens, ends = vocab.documents(W.text_of(batch, "lm_text"))
+        _give_back()  # cutting words takes several times the text
+        row = W.rows_of(offsets)
+        n_docs = batch.num_rows
+        in_head = rank[codes] >= 0 if len(codes) else np.zeros(0, bool)
+        head_rank = rank[codes[in_head]]
+        known = np.bincount(row[in_head], minlength=n_docs) + (end_rank >= 0)
+        log_sum = np.bincount(row[in_head], logs[head_rank], n_docs) + (logs[end_rank] if end_rank >= 0 else math.log10(0.5))
+        # the network gives a symbol; a word that is none has its share of its shape
+        nn = document_scores(w, vocab.layout, tokens, ends, vocab.end) / LN10
+        is_symbol = in_head.copy()
+        is_symbol[in_head] = head_rank < vocab.n_symbols
+        nn -= np.bincount(row[is_symbol], logs[rank[codes[is_symbol]]], n_docs) + (logs[end_rank] if end_rank >= 0 else math.log10(0.5))
+        other = np.flatnonzero(~is_symbol)
+        shape = tokens[other + row[other]] - vocab.n_symbols
+        nn -= np.bincount(row[other], shape_logs[shape] if len(shape) else None, n_docs)
+        pair, uses = np.unique(row[~in_head] * np.int64(max(len(distinct), 1)) + codes[~in_head], return_counts=True)
+        rare_row, rare_code = pair // max(len(distinct), 1), pair % max(len(distinct), 1)
+        ids = batch.column(0)
+        n_rare = len(pair)
+        null = lambda kind: pa.nulls(n_rare, kind)
+        own = pa.array([f" {i}" for i in ids.to_pylist()], pa.string())  # meets no word, and no other row
+        columns = [
+            pa.concat_arrays([ids, ids.take(pa.array(rare_row))]),
+            pa.concat_arrays([own, distinct.take(pa.array(rare_code)).cast(pa.string())]),
+            pa.array(np.concatenate([np.zeros(n_docs, np.int64), uses]), pa.int64()),
+            pa.concat_arrays([batch.column(1), null(batch.column(1).type)]),
+            pa.concat_arrays([batch.column(2), null(pa.bool_())]),
+            pa.concat_arrays([pa.array(np.diff(ends), pa.int64()), null(pa.int64())]),
+            pa.concat_arrays([pa.array(known.astype(np.int64)), null(pa.int64())]),
+            pa.concat_arrays([pa.array(log_sum), null(pa.float64())]),
+            pa.concat_arrays([pa.array(nn), null(pa.float64())]),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, SCORED)
+
+
 def score_documents(docs: DataFrame, held_out, key="doc_id", text="text") -> DataFrame:
     """Scores of each row; learns from the rows where the column ``held_out`` is false.
 
@@ -490,7 +556,7 @@ def score_documents(docs: DataFrame, held_out, key="doc_id", text="text") -> Dat
     base = docs.select(F.col(key).alias("key"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("lm_text"))
     as_text = F.col("key").cast("string")
     training = base.where(~F.col("held_out")).select(F.xxhash64(as_text, "lm_text").alias("lm_hash"), as_text.alias("lm_key"), "lm_text")
-    counts = training.select("lm_text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
+    counts = training.select("lm_text").mapInArrow(_tidy(_count_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
     counts = stored(counts, "word-counts")
     n_all, n_types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words, head_counts = _head(counts)
@@ -517,54 +583,12 @@ def score_documents(docs: DataFrame, held_out, key="doc_id", text="text") -> Dat
     if n_all:
         weights = _fit(training, vocab, weights, n_all)
     shared = spark.sparkContext.broadcast((vocab, weights))
-    names = ["doc_row", "word", "n", "key", "held_out", "n_tokens", "n_known", "logs", "score"]
-
-    def score(batches):
-        vocab, w = shared.value
-        logs = np.log10(vocab.counts + 0.5)
-        shape_logs = np.log10(vocab.shape_mass)
-        end_rank = pc.index(vocab.words, END).as_py()
-        for batch in W.slices(batches, "lm_text", SCORE_BYTES):
-            codes, distinct, offsets, rank, tokens, ends = vocab.documents(W.text_of(batch, "lm_text"))
-            row = W.rows_of(offsets)
-            n_docs = batch.num_rows
-            in_head = rank[codes] >= 0 if len(codes) else np.zeros(0, bool)
-            head_rank = rank[codes[in_head]]
-            known = np.bincount(row[in_head], minlength=n_docs) + (end_rank >= 0)
-            log_sum = np.bincount(row[in_head], logs[head_rank], n_docs) + (logs[end_rank] if end_rank >= 0 else math.log10(0.5))
-            # the network gives a symbol; a word that is none has its share of its shape
-            nn = document_scores(w, vocab.layout, tokens, ends, vocab.end) / LN10
-            is_symbol = in_head.copy()
-            is_symbol[in_head] = head_rank < vocab.n_symbols
-            nn -= np.bincount(row[is_symbol], logs[rank[codes[is_symbol]]], n_docs) + (logs[end_rank] if end_rank >= 0 else math.log10(0.5))
-            other = ~is_symbol
-            shape = tokens[np.arange(len(codes)) + row][other] - vocab.n_symbols
-            nn -= np.bincount(row[other], shape_logs[shape] if len(shape) else None, n_docs)
-            pair, uses = np.unique(row[~in_head] * np.int64(max(len(distinct), 1)) + codes[~in_head], return_counts=True)
-            rare_row, rare_code = pair // max(len(distinct), 1), pair % max(len(distinct), 1)
-            ids = batch.column(0)
-            n_rare = len(pair)
-            null = lambda kind: pa.nulls(n_rare, kind)
-            own = pa.array([f" {i}" for i in ids.to_pylist()], pa.string())  # meets no word, and no other row
-            columns = [
-                pa.concat_arrays([ids, ids.take(pa.array(rare_row))]),
-                pa.concat_arrays([own, distinct.take(pa.array(rare_code)).cast(pa.string())]),
-                pa.array(np.concatenate([np.zeros(n_docs, np.int64), uses]), pa.int64()),
-                pa.concat_arrays([batch.column(1), null(batch.column(1).type)]),
-                pa.concat_arrays([batch.column(2), null(pa.bool_())]),
-                pa.concat_arrays([pa.array(np.diff(ends), pa.int64()), null(pa.int64())]),
-                pa.concat_arrays([pa.array(known.astype(np.int64)), null(pa.int64())]),
-                pa.concat_arrays([pa.array(log_sum), null(pa.float64())]),
-                pa.concat_arrays([pa.array(nn), null(pa.float64())]),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
     numbered = base.select(F.monotonically_increasing_id().alias("doc_row"), "key", "held_out", "lm_text")
     schema = f"doc_row long, word string, n long, key {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double"
     # words meet by 128 bits of hash: longs are sorted and compared faster than words
     hashed = [F.xxhash64("word").alias("h1"), F.xxhash64(F.lit(1), "word").alias("h2")]
-    rows = numbered.mapInArrow(score, schema)
-    met = rows.select(*hashed, *[c for c in names if c != "word"]).join(counts.select(*hashed, "c"), ["h1", "h2"], "left")
+    rows = numbered.mapInArrow(_tidy(lambda batches: _scored(batches, *shared.value)), schema)
+    met = rows.select(*hashed, *[c for c in SCORED if c != "word"]).join(counts.select(*hashed, "c"), ["h1", "h2"], "left")
     rare = F.when(F.col("n") > 0, F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5))
     total = math.log10(n_all + 0.5 * (n_types + 1))
     done = met.groupBy("doc_row").agg(

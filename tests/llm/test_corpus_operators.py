@@ -1,9 +1,13 @@
 """SimHash, token store, counts, sampled pieces, language model, pipeline."""
 
+import ctypes
 import math
 import random
+import re
+import threading
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -545,6 +549,43 @@ def test_language_model(spark):
     assert all(r["score"] == r["base_score"] for r in lm_scoring.score_documents(docs.limit(3), F.lit(True)).collect())
 
 
+def test_workers_of_the_language_model_hold_little_memory(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    works, words = [], [f"w{i}" for i in range(60_000)]
+    docs = edge_docs(spark, [" ".join(words[i : i + 100]) for i in range(0, 60_000, 100)])
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, work, *a, **b: works.append(work) or plain(self, work, *a, **b))
+    lm_scoring.score_documents(docs, F.lit(False))
+    count, score = works[0], works[-1]
+    rng = random.Random(23)
+    texts = pa.array([" ".join(rng.choices(words, k=400)) for _ in range(5000)])
+    n = len(texts)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array([False] * n), texts], ["doc_row", "key", "held_out", "lm_text"])
+    trim = ctypes.CDLL(None).malloc_trim
+
+    def held():  # MB
+        return sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    for work, most in ((count, 110), (score, 190)):
+        pa.default_memory_pool().release_unused()
+        trim(0)
+        before, peak, over = held(), [], threading.Event()
+
+        def watch(peak=peak, over=over):
+            while not over.wait(0.005):
+                peak.append(held())
+
+        watching = threading.Thread(target=watch)
+        watching.start()
+        made = sum(batch.num_rows for batch in work(iter([rows])))
+        over.set()
+        watching.join()
+        assert made >= n
+        assert held() - before < 25, "what a worker keeps between tasks"
+        assert max(peak) - before < most
+
+
 def test_pipeline(spark):
     import corpus_pipeline as C
 
